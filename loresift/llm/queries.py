@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +22,25 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_docs(spark, sf_dir)).digests()
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_suffix_dedup)}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode
+
+    return encode(_docs(spark, sf_dir), ids=False)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan, schedule
+
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda total, p: total + p["taken"])
+    return schedule(plan(_docs(spark, sf_dir))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fingerprints
+
+    rows = fingerprints(_docs(spark, sf_dir))
+    return rows.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op6_fingerprints)}
 SQL: dict[str, str] = {}
