@@ -42,5 +42,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op6_fingerprints)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    rows = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_revisit_bytes=0)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op6_fingerprints, op10_warc)}
 SQL: dict[str, str] = {}
