@@ -56,8 +56,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gif import read_back, store
+
+    return read_back(store(_docs(spark, sf_dir)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_simhash, op6_fingerprints, op10_warc)
+    for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_simhash, op6_fingerprints, op7_gif, op10_warc)
 }
 SQL: dict[str, str] = {}
