@@ -68,8 +68,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_docs(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_simhash, op6_fingerprints, op7_gif, op8_language_id, op10_warc)
+    for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_simhash, op6_fingerprints, op7_gif, op8_language_id, op9_quality, op10_warc)
 }
 SQL: dict[str, str] = {}
