@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, kept, release, text_bytes
+from ._spark import ROW, arrow_map, identity, kept, release, text_bytes
 from .components import components
 
 BITS = 64
@@ -53,15 +53,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, mark, fp): fp is the fingerprint as a signed long, mark a hash of the text that tells rows
+    with one id apart."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, words) for t in text_bytes(b.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(fps.view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, fp long")
+    return arrow_map(identity(docs, id_col, text_col), run, f"{ROW}, fp long", rows=256)
 
 
 def _segments(max_bits: int, lo: int = 0, hi: int = BITS) -> list[tuple[int, int]]:
@@ -178,8 +179,8 @@ def _signed(x: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp (signed) and component_id, the smallest doc_id whose fingerprint is reachable
-    over links; a component whose ids are all null has a null component_id."""
+    """Per row: doc_id, mark, fp (signed), component_id, the smallest doc_id whose fingerprint is reachable
+    over links (null if no row there has an id), and root, the smallest such fingerprint as a signed long."""
     fps = kept(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "simhash")
     nodes = kept(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     found = kept(links(nodes.select("fp"), max_bits=max_bits), "simhash-links")
@@ -187,14 +188,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_co
     roots = components(found)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    named = named.join(least, "root").select(F.col("fp").alias("f"), "root", "component_id")
+    return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "mark", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row with the smallest id stays.
-    Rows that share that id stay only once; rows with a null id are never the smallest if another is there."""
+    """The rows of `docs` without near-duplicates: of each component one row stays, that with the smallest
+    id; rows with a null id stay only where no other has one."""
     found = near_duplicates(docs, words=words, max_bits=max_bits, id_col=id_col, text_col=text_col)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(chosen["_keep"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    none = F.lit(-(1 << 63)).cast("long")
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("mark").alias("_mark"), F.first("doc_id").alias("_id"))
+    chosen = chosen.select(F.coalesce("_id", none).alias("_id"), "_mark")
+    keyed = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), none), "_mark": F.hash(F.coalesce(docs[text_col], F.lit("")))})
+    return keyed.join(chosen, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*docs.columns)

@@ -102,5 +102,5 @@ def test_documents(spark):
     assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["fp"] & (2**64 - 1), -1 if x["component_id"] is None else x["component_id"]) for x in got) == want
     one = keep_one(df)
     assert one.columns == df.columns
-    assert sorted(-1 if x["doc_id"] is None else x["doc_id"] for x in one.collect()) == sorted({c for _, _, c in want})
+    assert sorted(-1 if x["doc_id"] is None else x["doc_id"] for x in one.collect()) == sorted(c for c, _ in {(c, root[f]) for _, f, c in want})
     assert near_duplicates(df.limit(0)).collect() == []
