@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import ROW, arrow_map, identity, kept, release, same_row, text_bytes
+from ._spark import ROW, arrow_map, drop, identity, kept, release, same_row, text_bytes
 from ._vector import U64, SequenceHash, Words, chunks, mix, sliding_min
 
 _UNIT = mix(np.arange(1, 257, dtype=U64) * U64(0xE7037ED1A0B428DB))
@@ -275,9 +275,11 @@ def repeats(docs: DataFrame, *, unit: str, length: int, seed: int, blocks: list[
     spark = docs.sparkSession
     keys = (["lead"] if by_lead else []) + ["k1", "k2"]
     own = identity(docs, id_col, text_col)
-    base = kept(base_table(own, unit, length, seed, extra, extra_schema), "zones")
-    level = base.select("doc_id", "mark", F.explode("zones").alias("z")).select("doc_id", "mark", "z.*")
+    zones = kept(base_table(own, unit, length, seed, extra, extra_schema), "zones")
+    level = zones.select("doc_id", "mark", F.explode("zones").alias("z")).select("doc_id", "mark", "z.*")
     first = neighbours(level, keys, "level0")
+    base = kept(zones.drop("zones"), "documents")
+    drop(zones)
     release(spark)
     some = first.groupBy("doc_id", "mark").agg(F.collect_list(F.when(F.col("full"), F.struct("at", "n"))).alias("parts"))
     cand = kept(own.join(some, same_row(own, some)).select(own["doc_id"], own["mark"], own["text"], some["parts"]), "candidates")
@@ -285,6 +287,7 @@ def repeats(docs: DataFrame, *, unit: str, length: int, seed: int, blocks: list[
     parts, done = first, []
     for block in blocks:
         parts = neighbours(_next_level(cand, parts, unit, length, block), keys, f"block{block}")
+        drop(*([first] if not done else []))  # the next level starts from this one
         release(spark)
         done.append(parts.where("full").select("doc_id", "mark", "at", "n"))
     more = done[0]
