@@ -19,6 +19,7 @@ from ..operators import generate as G
 from ..operators import parse as P
 from ..operators import plan_queries as Q
 from ..operators import retrieve as R
+from ..sources.session import prepared
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark, sf_dir) -> DataFrame:
