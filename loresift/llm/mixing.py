@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._spark import kept
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLOT_BITS = 12
+SLOT_DIGITS = 3  # hexadecimal: 4096 slots
 
 
 def word_count(text: Column) -> Column:
@@ -50,9 +50,9 @@ def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, epochs: int
     """One row per document: doc_id, source, size, source_size, target (of its source), and passes, an
     array of (epoch, start, finish, taken) in virtual time. With `carry`, `row` holds the whole input row."""
     base = docs.select(
-        docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), F.xxhash64(docs[id_col], F.lit(seed)).alias("key"),
+        docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("key"),
         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
-    ).withColumn("slot", F.shiftrightunsigned("key", 64 - SLOT_BITS))
+    ).withColumn("slot", F.conv(F.substring("key", 1, SLOT_DIGITS), 16, 10).cast("int"))
     narrow = base.select("doc_id", "source", "size", "key", "slot")
     if not carry:
         base = narrow = kept(narrow, "sizes")
