@@ -193,6 +193,7 @@ def identify(docs: DataFrame, *, per_class: int = PER_CLASS, slices: int = SLICE
     return arrow_map(rows, run, schema, rows=256)
 
 
-def keep_identified(docs: DataFrame, *, least: float = 0.5, **options) -> DataFrame:
-    """The rows of `docs` in a language: not `und`, and with a score of `least` or more."""
+def keep_identified(docs: DataFrame, *, least: float = 0.3, **options) -> DataFrame:
+    """The rows of `docs` in a language: not `und`, and with a score of `least` or more. The default lets
+    short but clean texts stay; it rejects what no language fits."""
     return identify(docs, carry=True, **options).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")

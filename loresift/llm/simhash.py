@@ -199,5 +199,6 @@ def keep_one(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str
     none = F.lit(-(1 << 63)).cast("long")
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("mark").alias("_mark"), F.first("doc_id").alias("_id"))
     chosen = chosen.select(F.coalesce("_id", none).alias("_id"), "_mark")
-    keyed = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), none), "_mark": F.hash(F.coalesce(docs[text_col], F.lit("")))})
-    return keyed.join(chosen, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    # the row travels whole, so that columns of the same names do not clash
+    keyed = docs.select(F.coalesce(docs[id_col].cast("long"), none).alias("_id"), F.hash(F.coalesce(docs[text_col], F.lit(""))).alias("_mark"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return keyed.join(chosen, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select("row.*")

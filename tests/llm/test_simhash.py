@@ -89,7 +89,7 @@ def test_documents(spark):
             w[r.randrange(len(w))] = word()
         rows.append((i, "\n".join(w).upper() if r.random() < 0.1 else "  ".join(w)))
     rows += [(200, None), (201, ""), (202, "One"), (203, "one\ttwo"), (3, rows[3][1]), (None, rows[4][1]), (None, "alone here with a null id of its own")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x")).withColumn("root", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x")).withColumn("root", F.lit(1)).withColumn("_id", F.lit("y"))
     got = near_duplicates(df).collect()
     fps = {t: slow_fingerprint(t) for _, t in rows}
     assert all(fingerprint((t or "").encode()) == f for t, f in fps.items())
