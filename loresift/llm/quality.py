@@ -28,8 +28,8 @@ from ._spark import arrow_map, kept, text_bytes
 from ._vector import Words, chunks
 
 LABELLERS = ("letters", "upper", "symbols", "shouts", "bars", "short_words", "lines", "stutter", "vocabulary")
-#: Documents that the scorer is trained on, at most, and the bytes of each that it sees there.
-SAMPLE, SAMPLE_BYTES = 4000, 2048
+#: Documents that the scorer is trained on, at most, and the characters of each that it sees there.
+SAMPLE, SAMPLE_CHARS = 4000, 2048
 HASH_BITS = 16
 FEATURES = (1 << HASH_BITS) + 3 * len(LABELLERS)
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -188,7 +188,7 @@ def score_texts(texts: list[bytes], v: np.ndarray, w: np.ndarray, b: float) -> n
 class QualityModel:
     """Label model and scorer fitted to a table, and its votes (doc_id, pattern)."""
 
-    def __init__(self, docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, *, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text"):
         self.rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
         def run(batches):
@@ -210,7 +210,7 @@ class QualityModel:
         order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("pattern")]
         halves = [self.votes.where(c).orderBy(*order).limit(sample // 2) for c in (F.col("pattern").isin(bad), ~F.col("pattern").isin(bad))]
         chosen = halves[0].unionByName(halves[1]).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        texts = self.rows.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, sample_bytes).alias("text"))
+        texts = self.rows.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"))
         found = sorted((r["doc_id"], r["text"], r["pattern"]) for r in texts.join(F.broadcast(chosen), "doc_id").collect())
         if found:
             self.weights, self.intercept = train_scorer([t.encode() for _, t, _ in found], votes_of(np.array([p for _, _, p in found])), np.array([likely[p] for _, _, p in found]))
