@@ -90,8 +90,8 @@ k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT doc
 SELECT w.doc_id, len(ws) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id""",
     "op3_suffix_dedup": r"""
 WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-i AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM w WHERE length(x) >= 400),
-h AS (SELECT doc_id, i, md5(x[2 * i + 1:2 * i + 400]) AS h FROM i),
+b AS (SELECT doc_id, length(x) // 2 AS n, b, substr(x, 2 * b + 1, 1398) AS y FROM (SELECT *, unnest(range(0, length(x) // 2 - 199, 500)) AS b FROM w WHERE length(x) >= 400)),
+h AS (SELECT doc_id, b + j AS i, md5(substr(y, 2 * j + 1, 400)) AS h FROM (SELECT *, unnest(range(0, least(500, n - 199 - b))) AS j FROM b)),
 r AS (SELECT doc_id, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
 o AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM r),
 n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
