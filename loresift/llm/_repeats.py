@@ -60,6 +60,18 @@ class Units:
         return (out ^ U64(1 << 63)).view(np.int64)
 
 
+def smallest_places(x: np.ndarray, w: int) -> np.ndarray:
+    """Place of the smallest of x[i:i+w], the first of equal ones, for every i with a full window. Places
+    are packed below the hash bits, relative to overlapping blocks, so that they fit however long x is."""
+    size = int(_LOW) + 1
+    out = []
+    for at in range(0, len(x) - w + 1, size - w + 1):
+        block = x[at : at + size]
+        low = np.arange(len(block), dtype=U64)
+        out.append((sliding_min((block & ~_LOW) | low, w) & _LOW).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
 def zones_of(u: Units, length: int, seed: int):
     """Zones of every document: (document, first window, number of windows, anchor place, anchor, digest)."""
     n, width = len(u.values), length - seed + 1
@@ -67,7 +79,7 @@ def zones_of(u: Units, length: int, seed: int):
         return [np.zeros(0, dtype=np.int64)] * 4 + [np.zeros(0, dtype=U64)] * 2
     i = np.arange(n - seed + 1)
     anchors = u.hash.of(i, i + seed)
-    owned = (sliding_min((anchors & ~_LOW) | i.astype(U64), width) & _LOW).astype(np.int64)
+    owned = smallest_places(anchors, width)
     has = np.maximum(u.hi - u.lo - length + 1, 0)  # windows per document
     doc = np.repeat(np.arange(len(has)), has)
     s = np.arange(len(doc)) - np.repeat(np.cumsum(has) - has, has) + np.repeat(u.lo, has)

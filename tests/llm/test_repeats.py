@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from loresift.llm import _repeats
 from loresift.llm._repeats import multikey_quicksort
 from loresift.llm.substring import substring_dedup
 from loresift.llm.suffix import suffix_dedup
@@ -100,3 +101,15 @@ def test_multikey_quicksort_orders_like_lexsort(n):
     order = multikey_quicksort(cols)
     expected = np.lexsort(cols[::-1])
     assert all((c[order] == c[expected]).all() for c in cols)
+
+
+@pytest.mark.parametrize("bits", [6, 8])
+def test_anchors_of_texts_longer_than_the_place_bits(monkeypatch, bits):
+    monkeypatch.setattr(_repeats, "_LOW", np.uint64((1 << bits) - 1))
+    r = random.Random(bits)
+    u = _repeats.Units([bytes(r.choice(b"abcdefgh") for _ in range(3000))], "byte")
+    _, first, n, place, _, _ = _repeats.zones_of(u, 40, 12)
+    i = np.arange(3000 - 12 + 1)
+    anchors = u.hash.of(i, i + 12) & ~_repeats._LOW
+    want = [s + int(np.argmin(anchors[s : s + 29])) for s in range(3000 - 40 + 1)]
+    assert np.repeat(place, n).tolist() == want and np.repeat(first, n).tolist() == [f for f, m in zip(first, n) for _ in range(m)]
