@@ -195,7 +195,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_co
 def keep_one(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component one row stays, that with the smallest
     id; rows with a null id stay only where no other has one."""
-    found = near_duplicates(docs, words=words, max_bits=max_bits, id_col=id_col, text_col=text_col)
+    return keep_first(docs, near_duplicates(docs, words=words, max_bits=max_bits, id_col=id_col, text_col=text_col), id_col=id_col, text_col=text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `keep_one`, of given components (doc_id, mark, component_id, root)."""
     none = F.lit(-(1 << 63)).cast("long")
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("mark").alias("_mark"), F.first("doc_id").alias("_id"))
     chosen = chosen.select(F.coalesce("_id", none).alias("_id"), "_mark")
