@@ -28,8 +28,8 @@ from ._spark import arrow_map, kept, text_bytes
 from ._vector import Words, chunks
 
 LABELLERS = ("letters", "upper", "symbols", "shouts", "bars", "short_words", "lines", "stutter", "vocabulary")
-#: Documents that the scorer is trained on, at most, and the characters of each that it sees there.
-SAMPLE, SAMPLE_CHARS = 4000, 2048
+#: Documents that the scorer is trained on, at most; it sees the whole text of each.
+SAMPLE = 4000
 HASH_BITS = 16
 FEATURES = (1 << HASH_BITS) + 3 * len(LABELLERS)
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -153,11 +153,16 @@ def said(v: np.ndarray) -> np.ndarray:
     return (1 << HASH_BITS) + np.arange(v.shape[1]) * 3 + v + 1
 
 
-def train_scorer(texts: list[bytes], v: np.ndarray, target: np.ndarray, *, epochs: int = 12, rate: float = 0.5, seed: int = 1) -> tuple[np.ndarray, float]:
+def trigrams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of the byte trigrams of a whole text, and how often each occurs."""
+    h, c = np.unique(hashed(np.frombuffer(b" " + text + b" ", dtype=np.uint8)), return_counts=True)
+    return h.astype(np.uint16), c.astype(np.uint32)
+
+
+def train_scorer(counted: list[tuple[np.ndarray, np.ndarray]], v: np.ndarray, target: np.ndarray, *, epochs: int = 12, rate: float = 0.5, seed: int = 1) -> tuple[np.ndarray, float]:
     """Logistic regression on trigram frequencies and votes, by Adagrad: weights and intercept."""
     feats = []
-    for t, own in zip(texts, said(v)):
-        h, c = np.unique(hashed(np.frombuffer(b" " + t + b" ", dtype=np.uint8)), return_counts=True)
+    for (h, c), own in zip(counted, said(v)):
         feats.append((np.concatenate([h, own]), np.concatenate([c / c.sum(), np.full(len(own), 1 / len(own))])))
     w, b, seen, seen_b = np.zeros(FEATURES), 0.0, np.full(FEATURES, 1e-6), 1e-6
     r = np.random.default_rng(seed)
@@ -188,7 +193,7 @@ def score_texts(texts: list[bytes], v: np.ndarray, w: np.ndarray, b: float) -> n
 class QualityModel:
     """Label model and scorer fitted to a table, and its votes (doc_id, pattern)."""
 
-    def __init__(self, docs: DataFrame, *, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
         self.rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
         def run(batches):
@@ -210,10 +215,18 @@ class QualityModel:
         order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("pattern")]
         halves = [self.votes.where(c).orderBy(*order).limit(sample // 2) for c in (F.col("pattern").isin(bad), ~F.col("pattern").isin(bad))]
         chosen = halves[0].unionByName(halves[1]).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        texts = self.rows.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"))
-        found = sorted((r["doc_id"], r["text"], r["pattern"]) for r in texts.join(F.broadcast(chosen), "doc_id").collect())
+
+        def count(batches):
+            for b in batches:
+                found = [trigrams(t) for t in text_bytes(b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("pattern"), *(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))], names=["doc_id", "pattern", "h", "c"])
+
+        # whole texts stay on the executors, only their sparse counts come here
+        picked = self.rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "pattern", "text")
+        found = sorted(tuple(map(r.get, ("doc_id", "h", "c", "pattern"))) for r in arrow_map(picked, count, "doc_id long, pattern long, h binary, c binary", rows=256).toArrow().to_pylist())
         if found:
-            self.weights, self.intercept = train_scorer([t.encode() for _, t, _ in found], votes_of(np.array([p for _, _, p in found])), np.array([likely[p] for _, _, p in found]))
+            counted = [(np.frombuffer(h, dtype=np.uint16), np.frombuffer(c, dtype=np.uint32)) for _, h, c, _ in found]
+            self.weights, self.intercept = train_scorer(counted, votes_of(np.array([p for *_, p in found])), np.array([likely[p] for *_, p in found]))
 
     def scores(self, least: float = 0.5) -> DataFrame:
         """Per row: doc_id, quality (0 to 1), keep (quality of at least `least`), votes (one character a

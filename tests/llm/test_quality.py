@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loresift.llm.quality import FEATURES, LABELLERS, QualityModel, expectation_maximisation, pattern_of, quality_scores, score_texts, votes, votes_of
+from loresift.llm.quality import FEATURES, LABELLERS, QualityModel, expectation_maximisation, pattern_of, quality_scores, score_texts, trigrams, votes, votes_of
 
 
 def test_em_recovers_accuracies():
@@ -50,3 +50,14 @@ def test_edge_cases(spark):
     assert quality_scores(df.limit(0)).collect() == []
     assert QualityModel(df.limit(0)).labels is None
     assert votes([]).shape == (0, len(LABELLERS))
+
+
+def test_scorer_is_trained_on_whole_texts(spark):
+    """Junk that starts after a long clean opening is what the scorer must see."""
+    opening = "Some words of a plain text that go on for a while. " * 60
+    rows = [(i, opening + ("zqx%%% B### &&&C $$$ ***" * 200 if i % 2 else "and it ends as it began " * 200)) for i in range(40)]
+    model = QualityModel(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = np.zeros(1 << 16, dtype=bool)
+    seen[trigrams(rows[1][1].encode())[0]] = True
+    seen[trigrams(rows[0][1].encode())[0]] = False
+    assert seen.any() and (model.weights[:-27][seen] != 0).all()
