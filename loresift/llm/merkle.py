@@ -1,10 +1,11 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and pieces, in DataFrame functions only.
 
-Paragraphs are lines, sections are runs of lines between blank lines. A paragraph's node hashes its line,
-a section's node its paragraphs' nodes, the root all sections' nodes and the length. Under the paragraphs
-stand leaves, pieces of a line: of 8 characters within the first 512 characters of the text, of 128 after
-them. Equal roots mean equal texts; where roots differ, differing section and paragraph nodes locate the
-edit, and the share of common leaves says how much of the text it left alone.
+Paragraphs are lines, sections are runs of lines between blank lines. Leaves are pieces of a line, of `PIECE`
+characters at most, by one rule over the whole text. A paragraph's node hashes its leaves, a section's node its
+paragraphs' nodes, the root all sections' nodes, the length and the text. Equal roots mean equal texts; where
+roots differ, differing section and paragraph nodes locate the edit, and the share of characters under common
+leaves says how much of the text it left alone. Under a common section or paragraph all leaves are common, so
+the leaves' characters are those of all common nodes; what repeats within a text counts once.
 
 Defined results: null counts as empty; the empty text has one empty section and no leaf, and is wholly
 like another empty text and wholly unlike any other; equal texts have equal fingerprints; rows may repeat;
@@ -16,25 +17,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAD, FINE, COARSE = 512, 8, 128
+PIECE = 32
 #: Rows with one `doc_id >> BUCKET_BITS` find their next row in one window; buckets follow each other
 #: level by level, so no window holds more than a bucket.
 BUCKET_BITS = 8
 
 
 def leaves(text: Column) -> Column:
-    """24-bit hashes of the pieces of a text."""
-
-    def pieces(part, size):
-        return F.regexp_extract_all(part, F.lit(r"[^\n]{1,%d}\n?|\n" % size), F.lit(0))
-
-    both = F.concat(pieces(F.substring(text, 1, HEAD), FINE), pieces(F.substring(text, HEAD + 1, 1 << 30), COARSE))
-    return F.transform(both, lambda p: F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFF)).cast("int"))
+    """(node, chars) of the pieces of a text: hash and characters covered."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\n]{1,%d}\n?|\n" % PIECE), F.lit(0))
+    return F.transform(pieces, lambda p: F.struct(F.xxhash64(p).alias("node"), F.length(p).alias("chars")))
 
 
 def paragraphs(text: Column) -> Column:
-    """Node hashes of the paragraphs, section by section."""
-    return F.transform(F.split(text, r"\n[ \t]*(?:\n[ \t]*)+"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.xxhash64(p)))
+    """Node hashes of the paragraphs from those of their leaves, section by section."""
+    return F.transform(F.split(text, r"\n[ \t]*(?:\n[ \t]*)+"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.xxhash64(leaves(p))))
 
 
 def sections(of: Column) -> Column:
@@ -50,14 +47,17 @@ def root(text: Column) -> Column:
 
 def serialised(root_: Column, leaves_: Column) -> Column:
     """The fingerprint: the root and after it the leaves, six digits each."""
-    return F.concat(root_, F.lit(":"), F.array_join(F.transform(leaves_, lambda x: F.lower(F.lpad(F.hex(x), 6, "0"))), ""))
+    return F.concat(root_, F.lit(":"), F.array_join(F.transform(leaves_, lambda x: F.lower(F.lpad(F.hex(x["node"].bitwiseAND(F.lit(0xFFFFFF))), 6, "0"))), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common leaves: 1 for equal leaf sets, 0 for disjoint ones."""
-    a, b = F.array_distinct(a), F.array_distinct(b)
-    most = F.greatest(F.size(a), F.size(b))
-    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
+    """Share of characters under common leaves: 1 for equal leaf sets, 0 for disjoint ones."""
+
+    def chars(x):
+        return F.aggregate(x, F.lit(0), lambda total, leaf: total + leaf["chars"])
+
+    most = F.greatest(chars(F.array_distinct(a)), chars(F.array_distinct(b)))
+    return F.when(most == 0, F.lit(1.0)).otherwise(chars(F.array_intersect(a, b)) / most)
 
 
 def edits(a: Column, b: Column) -> Column:

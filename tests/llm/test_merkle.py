@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loresift.llm.merkle import edits, fingerprints, paragraphs, tree
+from loresift.llm.merkle import edits, fingerprints, leaves, likeness, paragraphs, tree
 
 
 def test_edited_text_and_next_over_gaps(spark):
@@ -42,3 +42,15 @@ def test_branches_locate_edits(spark):
     b = "t\n\nfirst line\nsecond lime\n\nlast one\nend"
     df = spark.createDataFrame([(a, b)], "a string, b string").select(edits(paragraphs(F.col("a")), paragraphs(F.col("b"))).alias("e"))
     assert [tuple(x) for x in df.head()["e"]] == [(1, 1)]
+
+
+def test_likeness_is_the_share_of_the_whole_text(spark):
+    r = random.Random(9)
+    new = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    a = new(3072)
+    rows = [(a, new(512) + a[512:]), (a, a[:512] + new(2560)), (a, a[:2304] + new(768))]
+    got = [x["l"] for x in spark.createDataFrame(rows, "a string, b string").select(likeness(leaves(F.col("a")), leaves(F.col("b"))).alias("l")).collect()]
+    assert [round(x, 2) for x in got] == [0.83, 0.17, 0.75]
+    b = a[:2000] + "!" + a[2001:]
+    one, two = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").select(paragraphs(F.col("text")).alias("p"), leaves(F.col("text")).alias("l")).collect()
+    assert one["p"] != two["p"] and sum(x != y for x, y in zip(one["l"], two["l"])) == 1
