@@ -1,15 +1,17 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and pieces, in DataFrame functions only.
 
-Paragraphs are lines, sections are runs of lines between blank lines. Leaves are pieces of a line, of `PIECE`
-characters at most, by one rule over the whole text. A paragraph's node hashes its leaves, a section's node its
-paragraphs' nodes, the root all sections' nodes, the length and the text. Equal roots mean equal texts; where
-roots differ, differing section and paragraph nodes locate the edit, and the share of characters under common
-leaves says how much of the text it left alone. Under a common section or paragraph all leaves are common, so
-the leaves' characters are those of all common nodes; what repeats within a text counts once.
-
-Defined results: null counts as empty; the empty text has one empty section and no leaf, and is wholly
-like another empty text and wholly unlike any other; equal texts have equal fingerprints; rows may repeat;
-an empty table gives an empty result; other columns are not looked at.
+Sections end with their blank lines, paragraphs are lines, leaves are pieces of a line. Pieces end where the
+text itself says so (a blank after certain letters, or the end of a sentence), by one rule over the whole text, so that
+an insertion changes the pieces up to the next such place only. Every character is in one leaf. A paragraph's node
+hashes its leaves, a section's its paragraphs' nodes, the root all sections' nodes, and nothing else enters:
+equal roots mean equal texts (nodes have 128 bits). Where roots differ, branches that differ locate the edit
+(`edits`, `common_start`), and the characters under differing leaves say how much of the text it changed
+(`likeness`): leaves under equal nodes are equal, so those are the leaves of the differing branches.
+
+Defined results: null counts as empty; the empty text has no section, is wholly like another empty text and
+wholly unlike any other; equal texts have equal fingerprints; rows without an id come first; rows that share an
+id follow each other by a hash of their texts, and rows equal in both have one next row; the only row is its
+own next; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -17,113 +19,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = 32
-#: Rows with one `doc_id >> BUCKET_BITS` find their next row in one window; buckets follow each other
-#: level by level, so no window holds more than a bucket.
-BUCKET_BITS = 8
+from ._spark import kept
 
+#: Longest piece, in characters; fits the low byte of a leaf's code.
+PIECE = 128
+SECTION = r"(?s).+?(?:\n[ \t]*+\n[ \t\n]*+|\z)"
+LINE = r"[^\n]*+\n|[^\n]++"
+LEAF = r"[^\n]{0,%d}?(?:[dgy] |[.!?。！？])|[^\n]{1,%d}|\n" % (PIECE - 2, PIECE)
 
-def leaves(text: Column) -> Column:
-    """(node, chars) of the pieces of a text: hash and characters covered."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[^\n]{1,%d}\n?|\n" % PIECE), F.lit(0))
-    return F.transform(pieces, lambda p: F.struct(F.xxhash64(p).alias("node"), F.length(p).alias("chars")))
 
+def _parts(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-def paragraphs(text: Column) -> Column:
-    """Node hashes of the paragraphs from those of their leaves, section by section."""
-    return F.transform(F.split(text, r"\n[ \t]*(?:\n[ \t]*)+"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.xxhash64(leaves(p))))
 
+def _nodes(children: Column, name: str) -> Column:
+    """Nodes over lists of children: two hashes of their own, and the children."""
+    return F.transform(children, lambda c: F.struct(F.xxhash64(c).alias("node"), F.xxhash64(F.lit(1), c).alias("check"), c.alias(name)))
 
-def sections(of: Column) -> Column:
-    """Node hashes of the sections from those of their paragraphs."""
-    return F.transform(of, lambda s: F.xxhash64(s))
 
+def leaves(line: Column) -> Column:
+    """(node, check, code) of the pieces of a line; code holds 24 bits of the hash and the length."""
+    code = lambda p: F.shiftleft(F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFF)), 8) + F.length(p) - F.lit(1 << 31)
+    return F.transform(_parts(line, LEAF), lambda p: F.struct(F.xxhash64(p).alias("node"), F.xxhash64(F.lit(1), p).alias("check"), code(p).cast("int").alias("code")))
 
-def root(text: Column) -> Column:
+
+def sections(text: Column) -> Column:
+    """The tree of a text, from its sections (node, check, paragraphs) to their paragraphs (node, check,
+    leaves) and leaves (node, check, code)."""
+    lines = lambda s: _nodes(F.transform(_parts(s, LINE), leaves), "leaves")
+    return _nodes(F.transform(_parts(text, SECTION), lines), "paragraphs")
+
+
+def root(tree_: Column) -> Column:
     """32 hexadecimal digits."""
-    nodes = F.transform(sections(paragraphs(text)), lambda x: F.hex(x))
-    return F.substring(F.sha2(F.concat_ws(",", F.length(text).cast("string"), F.xxhash64(text, F.lit(1)).cast("string"), nodes), 256), 1, 32)
+    nodes = F.transform(tree_, lambda s: F.concat_ws(".", F.hex(s["node"]), F.hex(s["check"])))
+    return F.substring(F.sha2(F.array_join(nodes, ","), 256), 1, 32)
+
+
+def codes(tree_: Column) -> Column:
+    """The codes of all leaves, in order."""
+    return F.transform(F.flatten(F.transform(F.flatten(tree_["paragraphs"]), lambda p: p["leaves"])), lambda x: x["code"])
+
 
+def serialised(root_: Column, codes_: Column) -> Column:
+    """The fingerprint: the root and after it the leaves' codes, eight digits each."""
+    digits = F.transform(codes_, lambda c: F.lower(F.lpad(F.hex(c.cast("long") + F.lit(1 << 31)), 8, "0")))
+    return F.concat(root_, F.lit(":"), F.array_join(digits, ""))
 
-def serialised(root_: Column, leaves_: Column) -> Column:
-    """The fingerprint: the root and after it the leaves, six digits each."""
-    return F.concat(root_, F.lit(":"), F.array_join(F.transform(leaves_, lambda x: F.lower(F.lpad(F.hex(x["node"].bitwiseAND(F.lit(0xFFFFFF))), 6, "0"))), ""))
+
+def characters(codes_: Column) -> Column:
+    """How many characters leaves cover."""
+    return F.aggregate(codes_, F.lit(0).cast("long"), lambda total, c: total + c.bitwiseAND(F.lit(0xFF)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of characters under common leaves: 1 for equal leaf sets, 0 for disjoint ones."""
+    """Share of characters under equal leaves, from the codes of two texts: 1 if no leaf differs, 0 if all
+    do. What repeats within a text counts once."""
+    most = F.greatest(characters(F.array_distinct(a)), characters(F.array_distinct(b)))
+    return F.when(most == 0, F.lit(1.0)).otherwise(characters(F.array_intersect(a, b)) / most)
 
-    def chars(x):
-        return F.aggregate(x, F.lit(0), lambda total, leaf: total + leaf["chars"])
 
-    most = F.greatest(chars(F.array_distinct(a)), chars(F.array_distinct(b)))
-    return F.when(most == 0, F.lit(1.0)).otherwise(chars(F.array_intersect(a, b)) / most)
+def common_start(a: Column, b: Column) -> Column:
+    """Characters of `a` before the first leaf that differs, from the codes of two texts."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differs == 0, characters(a)).otherwise(characters(F.slice(a, F.lit(1), F.greatest(differs - 1, F.lit(0)).cast("int"))))
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Where two texts differ, from the paragraph nodes of each: (section, paragraph) of `a`, counted
-    from 0, whose node is not found in `b`. Sections with a node in `b` are skipped whole."""
-    there_s, there_p = sections(b), F.flatten(b)
+    """Where two texts differ, from their trees: (section, paragraph) of `a`, counted from 0, whose node is
+    not found in `b`."""
+    nodes = lambda t: F.flatten(t["paragraphs"])["node"]
+    new = F.array_except(nodes(a), nodes(b))
+    places = F.transform(a, lambda s, i: F.transform(s["paragraphs"], lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), p["node"].alias("node"))))
+    return F.transform(F.filter(F.flatten(places), lambda x: F.array_contains(new, x["node"])), lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph")))
 
-    def of(s, i):
-        marked = F.transform(s, lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), p.alias("node")))
-        return F.when(F.array_contains(there_s, F.xxhash64(s)), F.filter(marked, lambda _: F.lit(False))).otherwise(F.filter(marked, lambda m: ~F.array_contains(there_p, m["node"])))
 
-    return F.transform(F.flatten(F.transform(a, of)), lambda m: F.struct(m["section"].alias("section"), m["paragraph"].alias("paragraph")))
+def tree(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, root, sections (the tree) and fingerprint."""
+    rows = docs.select(docs[id_col].alias("doc_id"), sections(F.coalesce(docs[text_col], F.lit(""))).alias("sections"))
+    rows = rows.withColumn("root", root(F.col("sections")))
+    return rows.select("doc_id", "root", "sections", serialised(F.col("root"), codes(F.col("sections"))).alias("fingerprint"))
 
 
-def tree(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, root, sections, paragraphs, leaves and fingerprint."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", root(F.col("text")).alias("root"), paragraphs(F.col("text")).alias("paragraphs"), leaves(F.col("text")).alias("leaves"))
-    return rows.select("doc_id", "root", sections(F.col("paragraphs")).alias("sections"), "paragraphs", "leaves", serialised(F.col("root"), F.col("leaves")).alias("fingerprint"))
-
-
-def with_next(rows: DataFrame, payload: str) -> DataFrame:
-    """Rows of (doc_id, payload) with `next`, the payload of the next row by doc_id; of the last row, that
-    of the first. Null ids come first; rows that share an id follow each other by payload."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
-    rows = rows.select("doc_id", payload, key.alias("key"), F.shiftright(key, BUCKET_BITS).alias("bucket"))
-    start = rows.groupBy("bucket").agg(F.min(F.struct("key", payload)).alias("first"))
-    follow = _following(rows.select(F.col("bucket").alias("b")).distinct(), BUCKET_BITS)
-    start = start.join(follow, F.col("bucket") == F.col("then")).select("b", F.col("first")[payload].alias("first"), F.lit(True).alias("known"))
-    rows = rows.withColumn("after", F.lead(F.struct(payload)).over(Window.partitionBy("bucket").orderBy("key", payload)))
-    rows = rows.join(start, F.col("after").isNull() & (F.col("bucket") == F.col("b")), "left")
-    return rows.select("doc_id", payload, F.when(F.col("after").isNull(), F.col("first")).otherwise(F.col("after")[payload]).alias("next"))
-
-
-def _following(ids: DataFrame, bits: int) -> DataFrame:
-    """(b, then): every id and the next one, of the last the first, by windows over 2**12 ids each."""
-    step = 12
-    if 64 - bits - step <= 2 * step:
-        every = Window.orderBy("b")
-        return ids.select("b", F.coalesce(F.lead("b").over(every), F.min("b").over(Window.partitionBy())).alias("then"))
-    up = F.shiftright("b", step)
-    firsts = ids.groupBy(up.alias("g")).agg(F.min("b").alias("first"))
-    follow = _following(firsts.select(F.col("g").alias("b")), bits + step)
-    start = firsts.join(follow, F.col("g") == F.col("then")).select(F.col("b").alias("u"), "first")
-    rows = ids.select("b", up.alias("up"), F.lead("b").over(Window.partitionBy(up).orderBy("b")).alias("then"))
-    rows = rows.join(start, F.col("then").isNull() & (F.col("up") == F.col("u")), "left")
-    return rows.select("b", F.coalesce("then", "first").alias("then"))
+KEY = ["has_id", "key", "tie"]
+
+
+def before(rows: DataFrame) -> DataFrame:
+    """For every key (has_id, key, tie, n) the one before it in ascending order, as `prior`; before the first
+    comes the last. Only keys are sorted: by sampled ranges, in each range by a window, and the ranges' last
+    keys, one a partition, link them."""
+    ranged = kept(rows.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()), "ids")
+    own = F.struct(*KEY, "n")
+    last = ranged.groupBy("part").agg(F.max(own).alias("last"))
+    ordered = Window.orderBy("part")  # one row a partition
+    last = last.select(F.col("part").alias("p"), F.coalesce(F.lag("last").over(ordered), F.max("last").over(Window.partitionBy())).alias("carried"))
+    inside = Window.partitionBy("part").orderBy(*KEY)
+    return ranged.withColumn("prior", F.lag(own).over(inside)).join(F.broadcast(last), F.col("part") == F.col("p")).select(*KEY, F.coalesce("prior", "carried").alias("prior"))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit, in which the last quarter of the code points gives way
     to as many from the start of the next document. Columns: doc_id, n_chars, edited_text, fingerprint,
-    edited_fingerprint, near_edited, near_next."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    rows = with_next(rows, "text")
+    edited_fingerprint, near_edited, near_next, and edited_from, the characters before the first branch in
+    which the edit differs.
+
+    Texts are shuffled once, by their keys; what a document gives to the one before it (its opening and its
+    leaves' codes) follows in a second, smaller exchange."""
+    text, own = F.coalesce(docs[text_col], F.lit("")), docs[id_col].cast("long")
+    rows = docs.select(own.isNotNull().alias("has_id"), F.coalesce(own, F.lit(0).cast("long")).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    quarter = lambda n: F.floor(n / 4).cast("int")
+    prior = before(rows.select(*KEY, F.length("text").alias("n")).distinct())
+    given = rows.join(prior, KEY).select("prior", F.col("text").substr(F.lit(1), quarter(F.col("prior.n"))).alias("opening"), codes(sections(F.col("text"))).alias("next_codes"))
+    given = given.groupBy(*[F.col(f"prior.{k}").alias(k) for k in KEY]).agg(F.first(F.struct("opening", "next_codes")).alias("g"))
     n = F.length("text")
-    quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.col("text").substr(F.lit(1), n - quarter), F.col("next").substr(F.lit(1), quarter))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", leaves(F.col("text")).alias("leaves"), leaves(F.col("next")).alias("next_leaves"), edited.alias("edited_text"))
-    rows = rows.withColumn("edited_leaves", leaves(F.col("edited_text")))
-    return rows.select(
+    edited = F.concat(F.col("text").substr(F.lit(1), n - quarter(n)), F.col("g.opening"))
+    out = rows.join(given, KEY).select(F.when(F.col("has_id"), F.col("key")).alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited_text"), sections(F.col("text")).alias("tree"), F.col("g.next_codes").alias("next_codes"))
+    out = out.withColumn("edited_tree", sections(F.col("edited_text"))).select("*", codes(F.col("tree")).alias("codes"), codes(F.col("edited_tree")).alias("edited_codes"))
+    return out.select(
         "doc_id", "n_chars", "edited_text",
-        serialised(root(F.col("text")), F.col("leaves")).alias("fingerprint"),
-        serialised(root(F.col("edited_text")), F.col("edited_leaves")).alias("edited_fingerprint"),
-        likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
-        likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        serialised(root(F.col("tree")), F.col("codes")).alias("fingerprint"),
+        serialised(root(F.col("edited_tree")), F.col("edited_codes")).alias("edited_fingerprint"),
+        likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
+        likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
+        common_start(F.col("codes"), F.col("edited_codes")).alias("edited_from"),
     )

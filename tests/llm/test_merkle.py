@@ -1,9 +1,12 @@
+import itertools
 import random
+import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from loresift.llm.merkle import edits, fingerprints, leaves, likeness, paragraphs, tree
+from loresift.llm.merkle import codes, edits, fingerprints, likeness, sections, tree
 
 
 def test_edited_text_and_next_over_gaps(spark):
@@ -40,17 +43,73 @@ def test_repeated_rows_and_equal_texts(spark):
 def test_branches_locate_edits(spark):
     a = "t\n\nfirst line\nsecond line\n\nlast one\nend"
     b = "t\n\nfirst line\nsecond lime\n\nlast one\nend"
-    df = spark.createDataFrame([(a, b)], "a string, b string").select(edits(paragraphs(F.col("a")), paragraphs(F.col("b"))).alias("e"))
+    df = spark.createDataFrame([(a, b)], "a string, b string").select(edits(sections(F.col("a")), sections(F.col("b"))).alias("e"))
     assert [tuple(x) for x in df.head()["e"]] == [(1, 1)]
 
 
+def plain_tree(text):
+    """The tree's leaves, paragraph by paragraph and section by section, cut by plain rules."""
+    out = []
+    for s in re.findall(r"(?s).+?(?:\n[ \t]*\n[ \t\n]*|\Z)", text):
+        out.append([regex.findall(r"[^\n]{0,126}?(?:[dgy] |[.!?。！？])|[^\n]{1,128}|\n", line) for line in s.splitlines(keepends=True)])
+    return out
+
+
+def test_all_columns_against_plain_trees(spark):
+    """Texts as trees of strings instead of hashes: fingerprints are equal where trees are, and likeness,
+    start of the edit and leaf counts are those of the strings."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abdeginrty,") for _ in range(r.randrange(1, 9)))
+    texts = ["".join(word() + r.choice([" ", " ", " ", "\n", "\n\n", "\n \t\n\n", ". "]) for _ in range(r.randrange(0, 400))) for _ in range(40)]
+    texts += [texts[3], texts[5] + "x", "\n\n", "\n", "x" * 1000, "", "x" * 1000, "the same. " * 300]
+    rows = list(enumerate(texts))
+    got = {x["doc_id"]: x for x in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    flat = lambda t: [p for s in plain_tree(t) for line in s for p in line]
+
+    def near(a, b):
+        a, b = set(flat(a)), set(flat(b))
+        most = max(sum(map(len, a)), sum(map(len, b)))
+        return sum(map(len, a & b)) / most if most else 1.0
+
+    for i, t in rows:
+        nxt, e = texts[(i + 1) % len(texts)], got[i]["edited_text"]
+        assert "".join(flat(t)) == t and got[i]["near_edited"] == pytest.approx(near(t, e)) and got[i]["near_next"] == pytest.approx(near(t, nxt))
+        assert got[i]["edited_from"] == sum(len(x) for x, _ in itertools.takewhile(lambda p: p[0] == p[1], zip(flat(t), flat(e))))
+        assert len(got[i]["fingerprint"]) == 33 + 8 * len(flat(t)) and len(got[i]["edited_fingerprint"]) == 33 + 8 * len(flat(e))
+        for j, u in rows:
+            assert (got[i]["fingerprint"][:32] == got[j]["fingerprint"][:32]) == (t == u)
+
+
 def test_likeness_is_the_share_of_the_whole_text(spark):
     r = random.Random(9)
-    new = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
-    a = new(3072)
-    rows = [(a, new(512) + a[512:]), (a, a[:512] + new(2560)), (a, a[:2304] + new(768))]
-    got = [x["l"] for x in spark.createDataFrame(rows, "a string, b string").select(likeness(leaves(F.col("a")), leaves(F.col("b"))).alias("l")).collect()]
-    assert [round(x, 2) for x in got] == [0.83, 0.17, 0.75]
-    b = a[:2000] + "!" + a[2001:]
-    one, two = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").select(paragraphs(F.col("text")).alias("p"), leaves(F.col("text")).alias("l")).collect()
-    assert one["p"] != two["p"] and sum(x != y for x, y in zip(one["l"], two["l"])) == 1
+    new = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxy      .") for _ in range(n))
+    a = new(6000)
+    rows = [(a, new(1000) + a[1000:]), (a, a[:1000] + new(5000)), (a, a[:4500] + new(1500)), (a, "!" + a), (a, a[:3000] + "q" + a[3000:])]
+    of = lambda c: codes(sections(F.col(c)))
+    got = [x["l"] for x in spark.createDataFrame(rows, "a string, b string").select(likeness(of("a"), of("b")).alias("l")).collect()]
+    assert got[0] == pytest.approx(5 / 6, abs=0.04) and got[1] == pytest.approx(1 / 6, abs=0.04) and got[2] == pytest.approx(0.75, abs=0.04)
+    assert got[3] > 0.97 and got[4] > 0.97
+
+
+def test_a_quarter_of_new_text_is_a_quarter_less_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 1000")
+    got = [x["near_edited"] for x in fingerprints(docs).collect()]
+    assert 0.68 < sum(got) / len(got) < 0.8
+
+
+def test_no_window_over_all_ids(spark):
+    ids = spark.range(1000).selectExpr("xxhash64(id) AS doc_id", "cast(id AS string) AS text")
+    out = fingerprints(ids.unionByName(spark.range(500).selectExpr("cast(NULL AS long) AS doc_id", "concat('t', id) AS text")))
+    rows = out.collect()
+    assert len(rows) == 1500
+    text = {}
+    for d in sorted(x for x in ids.collect()):
+        text[d["doc_id"]] = d["text"]
+    order = sorted(text)
+    found = {x["doc_id"]: x for x in rows if x["doc_id"] is not None}
+    assert all(found[a]["near_next"] == (1.0 if text[a] == text[b] else 0.0) for a, b in zip(order, order[1:]))
+
+
+def test_deep_runs_of_blank_lines_do_not_overflow(spark):
+    df = spark.createDataFrame([(1, "a" + "\n \n" * 50_000 + "b"), (2, "\n" * 100_000), (3, "x" * 200_000)], "doc_id long, text string")
+    assert fingerprints(df).count() == 3 and fingerprints(df).agg(F.sum(F.length("fingerprint"))).head()[0] > 0
