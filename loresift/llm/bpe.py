@@ -172,7 +172,7 @@ def codec(path: str, leaf_chars: int = LEAF_CHARS) -> Codec:
     return Codec(path, leaf_chars)
 
 
-def encode(docs: DataFrame, *, vocab: str | None = None, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, batch_rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, *, vocab: str | None = None, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, token_ids (array of int; left out unless `ids`), ids_sha256 of the ids as
     little-endian unsigned 32-bit integers, decoded_sha256 of the text decoded from the ids. The files of
     `vocab` must be at the same path on every executor; None names the installed public vocabulary."""
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, *, vocab: str | None = None, leaf_chars: int = LEAF_
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if ids else "")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return arrow_map(rows, run, schema, rows=batch_rows)
+    return arrow_map(rows, run, schema)
 
 
 def decode(rows: DataFrame, *, vocab: str | None = None, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -209,4 +209,4 @@ def decode(rows: DataFrame, *, vocab: str | None = None, id_col: str = "doc_id",
             text = [c.decode(np.array(x or [], dtype=np.int64)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return arrow_map(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")), run, "doc_id long, text string", rows=256)
+    return arrow_map(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")), run, "doc_id long, text string")

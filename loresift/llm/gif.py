@@ -287,7 +287,7 @@ def frames(media: DataFrame, *, id_col: str = "doc_id", content_col: str = "cont
     def row(*values):
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
-    return arrow_map(media.select(media[id_col].cast("long").alias("id"), media[content_col].alias("content")), run, FRAMES, rows=16)
+    return arrow_map(media.select(media[id_col].cast("long").alias("id"), media[content_col].alias("content")), run, FRAMES)
 
 
 def payload_of(text: bytes) -> bytes:
@@ -306,7 +306,7 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return arrow_map(rows, run, "doc_id long, n_bytes long, content binary", rows=128)
+    return arrow_map(rows, run, "doc_id long, n_bytes long, content binary")
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -329,4 +329,4 @@ def read_back(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_bytes", *names])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return arrow_map(media, run, schema, rows=128)
+    return arrow_map(media, run, schema)

@@ -190,7 +190,7 @@ def identify(docs: DataFrame, *, per_class: int = PER_CLASS, slices: int = SLICE
 
     rows = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []), docs[text_col].alias("text"))
     schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    return arrow_map(rows, run, schema, rows=256)
+    return arrow_map(rows, run, schema)
 
 
 def keep_identified(docs: DataFrame, *, least: float = 0.3, **options) -> DataFrame:

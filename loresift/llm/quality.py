@@ -201,7 +201,7 @@ class QualityModel:
                 found = [pattern_of(votes([t for _, t in part])) for part in chunks(text_bytes(b.column("text")))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))], names=["doc_id", "pattern"])
 
-        self.votes = kept(arrow_map(self.rows, run, "doc_id long, pattern long", rows=256), "votes")
+        self.votes = kept(arrow_map(self.rows, run, "doc_id long, pattern long"), "votes")
         counted = sorted(map(tuple, self.votes.groupBy("pattern").count().collect()))
         self.weights, self.intercept = np.zeros(FEATURES), 0.0
         self.labels = None
@@ -223,7 +223,7 @@ class QualityModel:
 
         # whole texts stay on the executors, only their sparse counts come here
         picked = self.rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "pattern", "text")
-        found = sorted(tuple(map(r.get, ("doc_id", "h", "c", "pattern"))) for r in arrow_map(picked, count, "doc_id long, pattern long, h binary, c binary", rows=256).toArrow().to_pylist())
+        found = sorted(tuple(map(r.get, ("doc_id", "h", "c", "pattern"))) for r in arrow_map(picked, count, "doc_id long, pattern long, h binary, c binary").toArrow().to_pylist())
         if found:
             counted = [(np.frombuffer(h, dtype=np.uint16), np.frombuffer(c, dtype=np.uint32)) for _, h, c, _ in found]
             self.weights, self.intercept = train_scorer(counted, votes_of(np.array([p for *_, p in found])), np.array([likely[p] for *_, p in found]))
@@ -246,7 +246,7 @@ class QualityModel:
                     q = np.concatenate(quality)
                     yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(q), pa.array(q >= least), pa.array(words), pa.array(np.concatenate(label))], names=["doc_id", "quality", "keep", "votes", "label"])
 
-        return arrow_map(self.rows, run, "doc_id long, quality double, keep boolean, votes string, label double", rows=256)
+        return arrow_map(self.rows, run, "doc_id long, quality double, keep boolean, votes string, label double")
 
 
 def quality_scores(docs: DataFrame, **options) -> DataFrame:

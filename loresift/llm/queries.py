@@ -39,7 +39,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import fingerprints
 
     rows = fingerprints(_docs(spark, sf_dir))
-    return rows.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return rows.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_from")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import ROW, arrow_map, identity, kept, release, text_bytes
+from ._spark import ROW, arrow_map, identity, kept, real_id, release, row_key, text_bytes
 from .components import components
 
 BITS = 64
@@ -54,15 +54,14 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, fp): fp is the fingerprint as a signed long, mark a hash of the text that tells rows
-    with one id apart."""
+    """(doc_id, mark, fp): the row's key (see `_spark.row_key`) and its fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, words) for t in text_bytes(b.column("text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(fps.view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    return arrow_map(identity(docs, id_col, text_col), run, f"{ROW}, fp long", rows=256)
+    return arrow_map(identity(docs, id_col, text_col), run, f"{ROW}, fp long")
 
 
 def _segments(max_bits: int, lo: int = 0, hi: int = BITS) -> list[tuple[int, int]]:
@@ -171,7 +170,7 @@ def links(distinct: DataFrame, *, max_bits: int = 3) -> DataFrame:
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return arrow_map(rows.select("v", "k", "fp"), run, "a long, b long", rows=1 << 16).distinct()
+    return arrow_map(rows.select("v", "k", "fp"), run, "a long, b long").distinct()
 
 
 def _signed(x: int) -> int:
@@ -179,17 +178,18 @@ def _signed(x: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, mark, fp (signed), component_id, the smallest doc_id whose fingerprint is reachable
-    over links (null if no row there has an id), and root, the smallest such fingerprint as a signed long."""
+    """Per row: doc_id, its key (key, mark; see `_spark.row_key`), fp (signed), component_id, the smallest doc_id
+    whose fingerprint is reachable over links (null if no row there has an id), and root, the smallest such
+    fingerprint as a signed long."""
     fps = kept(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "simhash")
-    nodes = kept(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = kept(fps.groupBy("fp").agg(F.min(real_id()).alias("first")), "nodes")
     found = kept(links(nodes.select("fp"), max_bits=max_bits), "simhash-links")
     release(docs.sparkSession)
     roots = components(found)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(least, "root").select(F.col("fp").alias("f"), "root", "component_id")
-    return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "mark", "fp", "component_id", "root")
+    return fps.join(named, F.col("fp") == F.col("f")).select(real_id().alias("doc_id"), F.col("doc_id").alias("key"), "mark", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,10 +199,11 @@ def keep_one(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str
 
 
 def keep_first(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As `keep_one`, of given components (doc_id, mark, component_id, root)."""
-    none = F.lit(-(1 << 63)).cast("long")
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("mark").alias("_mark"), F.first("doc_id").alias("_id"))
-    chosen = chosen.select(F.coalesce("_id", none).alias("_id"), "_mark")
+    """As `keep_one`, of given components (doc_id, key, mark, root): the row with the smallest id,
+    then mark, stays. Rows equal in id and text count as one."""
+    own = F.struct(F.col("doc_id").isNull(), F.col("key").alias("_id"), F.col("mark").alias("_mark"))
+    chosen = found.groupBy("root").agg(F.min(own).alias("x")).select("x._id", "x._mark")
+    key, mark = row_key(docs[id_col], docs[text_col])
     # the row travels whole, so that columns of the same names do not clash
-    keyed = docs.select(F.coalesce(docs[id_col].cast("long"), none).alias("_id"), F.hash(F.coalesce(docs[text_col], F.lit(""))).alias("_mark"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    keyed = docs.select(key.alias("_id"), mark.alias("_mark"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     return keyed.join(chosen, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select("row.*")

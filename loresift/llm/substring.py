@@ -1,9 +1,11 @@
 """Substring deduplication over words: seed and extend.
 
 Every window of `min_words` words owns a winnowed anchor, its smallest hash among runs of `seed_words`
-words. Documents meet on equal anchors; each anchor is extended both ways over the windows that own it,
-and extensions that differ as a whole are settled window by window. What remains are the maximal repeats
-of at least `min_words` words; the words they cover are cut from every occurrence, the first included.
+words. Documents are joined on equal anchors, and each match is extended both ways, word by word, into a
+maximal repeat; those of at least `min_words` words stay, and the words they cover are cut from every
+occurrence, the first included. Occurrences that agree as far as their windows reach are settled at once by
+digests; where more than a bounded number of different ones share an anchor (a frequent phrase), the windows
+around it are sorted instead of being compared with each other, so that no group grows with its square.
 
 Defined results: null and empty texts have no words; a text shorter than the threshold is never cut;
 repeated rows are repeats of each other; rows with one id but different texts stay apart; an empty table
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._repeats import merged, repeats
-from ._spark import ROW, arrow_map, same_row, text_bytes
+from ._spark import ROW, arrow_map, real_id, row_key, same_row, text_bytes
 
 MIN_WORDS = 35
 SEED_WORDS = 8
@@ -59,7 +61,7 @@ def _cut(min_words: int):
 class SubstringDedup:
     """Result of the search over one table.
 
-    found: (doc_id, mark, kept, n_removed, spans) of the documents that lose words; spans are disjoint
+    Rows are keyed by (doc_id, mark), see `_spark.row_key`. found: (doc_id, mark, kept, n_removed, spans) of the documents that lose words; spans are disjoint
     word ranges, kept is the remaining words joined by one space. base: (doc_id, mark, n_words,
     words_sha256) of every row, the digest being that of all its words.
     """
@@ -70,14 +72,14 @@ class SubstringDedup:
             docs, unit="word", length=min_words, seed=min(seed_words, min_words), blocks=[1], by_lead=False, id_col=id_col, text_col=text_col,
             extra=_base_extra, extra_schema="n_words long, words_sha256 string",
         )
-        self.found = arrow_map(found, _cut(min_words), f"{ROW}, kept string, n_removed long, spans array<struct<start:bigint,end:bigint>>", rows=128)
+        self.found = arrow_map(found, _cut(min_words), f"{ROW}, kept string, n_removed long, spans array<struct<start:bigint,end:bigint>>")
 
     def digests(self) -> DataFrame:
         """Per row: doc_id, n_words, n_removed, kept_sha256."""
         base = self.base.select("doc_id", "mark", "n_words", "words_sha256")
         cut = self.found.select("doc_id", "mark", "n_removed", F.sha2("kept", 256).alias("sha")).dropDuplicates(["doc_id", "mark"])
         return base.join(cut, same_row(base, cut), "left").select(
-            base["doc_id"], base["n_words"], F.coalesce(cut["n_removed"], F.lit(0).cast("long")).alias("n_removed"), F.coalesce(cut["sha"], base["words_sha256"]).alias("kept_sha256")
+            real_id(base["doc_id"], base["mark"]).alias("doc_id"), base["n_words"], F.coalesce(cut["n_removed"], F.lit(0).cast("long")).alias("n_removed"), F.coalesce(cut["sha"], base["words_sha256"]).alias("kept_sha256")
         )
 
     def texts(self) -> DataFrame:
@@ -85,7 +87,8 @@ class SubstringDedup:
         repeat stay as they were."""
         docs, cut = self.docs, self.found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "kept").dropDuplicates(["_id", "_mark"])
         text = docs[self.text_col]
-        joined = docs.join(cut, docs[self.id_col].cast("long").eqNullSafe(cut["_id"]) & (F.hash(F.coalesce(text, F.lit(""))) == cut["_mark"]), "left")
+        doc_id, mark = row_key(docs[self.id_col], text)
+        joined = docs.join(cut, (doc_id == cut["_id"]) & (mark == cut["_mark"]), "left")
         now = F.coalesce(cut["kept"], text).alias(self.text_col)
         return joined.where(cut["kept"].isNull() | (cut["kept"] != "")).select(*[now if c == self.text_col else docs[c] for c in docs.columns])
 

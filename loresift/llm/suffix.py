@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._repeats import merged, repeats
-from ._spark import ROW, arrow_map, same_row, text_bytes
+from ._spark import ROW, arrow_map, real_id, same_row, text_bytes
 
 MIN_BYTES = 200
 SEED_BYTES = 40
@@ -61,14 +61,14 @@ def _cut(min_bytes: int):
 
 class SuffixDedup:
     """found: (doc_id, mark, kept, n_removed, spans) of the documents that lose bytes: spans are disjoint
-    byte ranges, kept the remaining bytes. base: (doc_id, mark, n_bytes, text_sha256) of every row."""
+    byte ranges, kept the remaining bytes; rows are keyed by (doc_id, mark), see `_spark.row_key`. base: (doc_id, mark, n_bytes, text_sha256) of every row."""
 
     def __init__(self, docs: DataFrame, *, min_bytes: int = MIN_BYTES, seed_bytes: int = SEED_BYTES, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"):
         self.base, found = repeats(
             docs, unit="byte", length=min_bytes, seed=min(seed_bytes, min_bytes), blocks=[block, 1] if min_bytes >= 2 * block else [1], by_lead=True, id_col=id_col, text_col=text_col,
             extra=_base_extra, extra_schema="n_bytes long, text_sha256 string",
         )
-        self.found = arrow_map(found, _cut(min_bytes), f"{ROW}, kept binary, n_removed long, spans array<struct<start:bigint,end:bigint>>", rows=128)
+        self.found = arrow_map(found, _cut(min_bytes), f"{ROW}, kept binary, n_removed long, spans array<struct<start:bigint,end:bigint>>")
 
     def digests(self) -> DataFrame:
         """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
@@ -76,7 +76,7 @@ class SuffixDedup:
         cut = self.found.select("doc_id", "mark", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("sha")).dropDuplicates(["doc_id", "mark"])
         zero = F.lit(0).cast("long")
         return base.join(cut, same_row(base, cut), "left").select(
-            base["doc_id"], base["n_bytes"], F.coalesce(cut["n_removed"], zero).alias("n_removed"), F.coalesce(cut["n_spans"], zero).alias("n_spans"), F.coalesce(cut["sha"], base["text_sha256"]).alias("kept_sha256")
+            real_id(base["doc_id"], base["mark"]).alias("doc_id"), base["n_bytes"], F.coalesce(cut["n_removed"], zero).alias("n_removed"), F.coalesce(cut["n_spans"], zero).alias("n_spans"), F.coalesce(cut["sha"], base["text_sha256"]).alias("kept_sha256")
         )
 
 

@@ -94,7 +94,7 @@ def archives(decided: DataFrame, *, archive_bytes: int = ARCHIVE_BYTES, level: i
         if z:
             yield _archive(f"pages-{part:06d}-{n:06d}.warc.gz", b"".join([*out, z.flush()]))
 
-    return arrow_map(decided, run, "name string, content binary", rows=128)
+    return arrow_map(decided, run, "name string, content binary")
 
 
 def _archive(name: str, content: bytes) -> pa.RecordBatch:
@@ -161,7 +161,7 @@ def normalise(files: DataFrame, *, level: int = LEVEL) -> DataFrame:
                 kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("type", pa.string())]))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out)], pa.binary()), pa.array([index], kind)], names=["name", "content", "index"])
 
-    return arrow_map(files, run, f"name string, content binary, index {INDEX}", rows=1)
+    return arrow_map(files, run, f"name string, content binary, index {INDEX}")
 
 
 def read_records(files: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def read_records(files: DataFrame) -> DataFrame:
                 names = ["name", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return arrow_map(files, run, "name string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string", rows=1)
+    return arrow_map(files, run, "name string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string")
 
 
 def _page_id(record_id: str) -> int | None:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loresift.llm import _repeats
 from loresift.llm._repeats import multikey_quicksort
@@ -113,3 +114,50 @@ def test_anchors_of_texts_longer_than_the_place_bits(monkeypatch, bits):
     anchors = u.hash.of(i, i + 12) & ~_repeats._LOW
     want = [s + int(np.argmin(anchors[s : s + 29])) for s in range(3000 - 40 + 1)]
     assert np.repeat(place, n).tolist() == want and np.repeat(first, n).tolist() == [f for f, m in zip(first, n) for _ in range(m)]
+
+
+def test_equal_rows_cost_no_square(spark):
+    """Copies under one id share their findings: ten thousand of them go through, each cut whole."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = spark.range(10_000).selectExpr("7L AS doc_id").withColumn("text", F.lit(text)).union(spark.createDataFrame([(8, "own " + text + " end")], "doc_id long, text string"))
+    got = substring_dedup(rows).digests().groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(7, 300, 300, 10_000), (8, 302, 300, 1)]
+    got = suffix_dedup(rows).digests().groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(7, len(text), 10_000), (8, len(text), 1)]
+
+
+@pytest.mark.parametrize("copies", [10, 300])
+def test_a_phrase_that_many_different_places_share(spark, copies):
+    """Few places are extended against each other, many are sorted: equal results either way."""
+    r = random.Random(copies)
+    phrase = [f"p{i}" for i in range(10)]
+    near = [[f"a{r.randrange(2)}" for _ in range(6)] for _ in range(4)], [[f"b{r.randrange(2)}" for _ in range(6)] for _ in range(4)]
+    rows = [(i, " ".join([f"l{i}"] * 3 + r.choice(near[0]) + phrase + r.choice(near[1]) + [f"r{i}"] * 3)) for i in range(copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in substring_dedup(df, min_words=18, seed_words=4).digests().collect())
+    assert got == brute_words(rows, 18)
+
+
+def test_extension_finds_the_maximal_repeat(spark):
+    r = random.Random(2)
+    shared = [f"s{i}" for i in range(90)]
+    rows = [(i, " ".join([f"x{i}_{j}" for j in range(r.randrange(1, 30))] + shared + [f"y{i}_{j}" for j in range(r.randrange(1, 30))])) for i in range(2)]
+    found = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).found.collect()
+    assert [[(s["start"], s["end"]) for s in f["spans"]] for f in sorted(found)] == [[(rows[f["doc_id"]][1].split().index("s0"), rows[f["doc_id"]][1].split().index("s89") + 1)] for f in sorted(found)]
+
+
+def test_rows_without_an_id_stay_apart(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, text), (None, text + " more"), (None, "other"), (None, None)]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).digests().collect()
+    assert sorted((x["doc_id"], x["n_words"], x["n_removed"]) for x in got) == [(None, 0, 0), (None, 1, 0), (None, 50, 50), (None, 51, 50)]
+
+
+def test_passage_behind_a_very_long_opening(spark):
+    """A repeat that starts beyond 2**24 units of a text is found like any other."""
+    r = np.random.default_rng(1)
+    opening = r.integers(97, 123, 17 << 20).astype(np.uint8).tobytes().decode()
+    passage = r.integers(97, 123, 400).astype(np.uint8).tobytes().decode()
+    rows = [(1, opening + passage + "#" * 9), (2, "!" * 9 + passage + "?")]
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).digests().collect()
+    assert sorted((x["doc_id"], x["n_removed"], x["n_spans"]) for x in got) == [(1, 400, 1), (2, 400, 1)]
