@@ -6,8 +6,8 @@ over all its windows, weighted by length. On one-hot bytes a filter is a table,
 looked-up rows, and tables for pairs of bytes halve the look-ups.
 
 The network is trained in numpy on the driver, on a bounded sample: at most `per_class` labelled documents
-of each language, chosen by a hash of the id, and at most `slices` windows of each. Nothing but text and
-lang is learned from, and nothing but text enters a prediction.
+of each language, chosen by a hash of the id, and at most `slices` windows of each. Of documents that share
+an id, one is learned from. Nothing but text and lang is learned from, and nothing but text enters a prediction.
 
 Defined results: a text that is null or has no letter is `und` with score 1; equal texts get equal results;
 rows whose lang is null are predicted but never learned from; with nothing to learn from all is `und` with
@@ -21,9 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._sample import sampled
 from ._spark import arrow_map
 
 WINDOW = 256
@@ -145,16 +146,14 @@ def train(x: np.ndarray, y: np.ndarray, classes: list[str], *, epochs: int = 6,
 
 
 def training_windows(docs: DataFrame, *, per_class: int = PER_CLASS, slices: int = SLICES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """(windows, class numbers, classes) of the bounded sample; ids are chosen before texts are read."""
+    """(windows, class numbers, classes) of the bounded sample: `per_class` rows a language at most reach the
+    driver, however often an id is repeated."""
     own = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
-    usable = own.where(F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.col("id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = usable.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("id").distinct()
-    # the sample is bounded by per_class, so its ids may go to every executor
+    usable = own.where(F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.col("id").isNotNull() & (F.length("text") > 0))
     size = F.length("text")
     cut = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda i: F.substring("text", F.floor(size * i / slices).cast("int") + 1, F.lit(WINDOW)))
-    rows = usable.join(F.broadcast(ids), "id", "left_semi").where(F.length("text") > 0).select("id", "lang", F.when(size > WINDOW, F.array_distinct(cut)).otherwise(F.array("text")).alias("cut"))
-    found = sorted(rows.collect(), key=lambda row: (row["lang"], row["id"], row["cut"]))
+    cut = F.when(size > WINDOW, F.array_distinct(cut)).otherwise(F.array("text"))
+    found = sorted(sampled(usable, "lang", per_class, {"cut": cut}).collect(), key=lambda row: (row["lang"], row["id"], row["cut"]))
     classes = sorted({row["lang"] for row in found})
     x, y = [], []
     for row in found:
@@ -165,10 +164,19 @@ def training_windows(docs: DataFrame, *, per_class: int = PER_CLASS, slices: int
     return (np.array(x, dtype=np.uint8).reshape(-1, WINDOW), np.array(y, dtype=np.int64), classes)
 
 
-def identify(docs: DataFrame, *, per_class: int = PER_CLASS, slices: int = SLICES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred and score; with `carry`, all columns of `docs` as `row` too."""
-    x, y, classes = training_windows(docs, per_class=per_class, slices=slices, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    net = train(x, y, classes) if len(x) else None
+def fitted(docs: DataFrame, **options) -> Network | None:
+    """The network trained on the sample of `training_windows`; none if there is nothing to learn from."""
+    x, y, classes = training_windows(docs, **options)
+    return train(x, y, classes) if len(x) else None
+
+
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """Per row: doc_id, held_out, lang_pred and score, by a network trained on the same table."""
+    return predicted(docs, fitted(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options), id_col=id_col, text_col=text_col)
+
+
+def predicted(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """As `identify`, by a given network; with `carry`, all columns of `docs` as `row` too."""
 
     def run(batches):
         for b in batches:
@@ -183,7 +191,7 @@ def identify(docs: DataFrame, *, per_class: int = PER_CLASS, slices: int = SLICE
                     part = at[a : a + 64]
                     p = net.predict([texts[i].encode() for i in part])
                     for i, c, s in zip(part, p.argmax(axis=1).tolist(), p.max(axis=1).tolist()):
-                        said[i], score[i] = classes[c], min(1.0, s)
+                        said[i], score[i] = net.classes[c], min(1.0, s)
             rest = [b.column(i) for i, n in enumerate(b.schema.names) if n != "text"]
             names = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
@@ -193,7 +201,10 @@ def identify(docs: DataFrame, *, per_class: int = PER_CLASS, slices: int = SLICE
     return arrow_map(rows, run, schema)
 
 
-def keep_identified(docs: DataFrame, *, least: float = 0.3, **options) -> DataFrame:
-    """The rows of `docs` in a language: not `und`, and with a score of `least` or more. The default lets
-    short but clean texts stay; it rejects what no language fits."""
-    return identify(docs, carry=True, **options).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
+def keep_identified(docs: DataFrame, *, odds: float = 1.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of `docs` in a language: not `und`, and with a score of at least `odds` times what a text that
+    says nothing gets, which is one part of as many as there are languages. The default lets short but clean
+    texts stay; it rejects what no language fits."""
+    net = fitted(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
+    least = odds / len(net.classes) if net and len(net.classes) > 1 else 0.0
+    return predicted(docs, net, id_col=id_col, text_col=text_col, carry=True).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")

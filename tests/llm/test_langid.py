@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from loresift.llm.langid import FILTERS, WIDTHS, WINDOW, Network, identify, keep_identified, train, windows
+from loresift.llm.langid import FILTERS, WIDTHS, WINDOW, Network, identify, keep_identified, train, training_windows, windows
 
 
 def test_pooling_equals_a_plain_convolution():
@@ -52,3 +52,21 @@ def test_training_is_deterministic():
     x, y = r.integers(0, 256, (80, WINDOW)).astype(np.uint8), r.integers(0, 2, 80)
     a, b = train(x, y, ["a", "b"], epochs=1), train(x, y, ["a", "b"], epochs=1)
     assert (a.out == b.out).all()
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    """Of a hundred thousand rows under one id, one is learned from; every label gives its share."""
+    many = spark.range(100_000).selectExpr("1L AS doc_id", "concat('bada ', id) AS text", "'xx' AS lang")
+    rest = spark.range(10, 3000).selectExpr("id AS doc_id", "'stryx plyf' AS text", "if(id % 3 = 0, 'xx', 'yy') AS lang")
+    x, y, classes = training_windows(many.unionByName(rest), per_class=20)
+    assert classes == ["xx", "yy"] and len(x) == len(y) == 40 and sum(y == 0) == 20
+
+
+def test_no_task_ranks_a_whole_label(spark):
+    docs = spark.range(0, 40_000, 1, 40).selectExpr("id AS doc_id", "'stryx plyf' AS text", "'yy' AS lang")
+    own = docs.selectExpr("doc_id AS id", "lang", "text")
+    from loresift.llm._sample import sampled
+
+    got = sampled(own, "lang", 100, {"text": F.col("text")})
+    want = [r["id"] for r in own.orderBy(F.xxhash64("id"), "id").limit(100).collect()]
+    assert sorted(r["id"] for r in got.collect()) == sorted(want)
