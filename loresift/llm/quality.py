@@ -2,9 +2,10 @@
 
 Heuristic labellers vote on every document: good, bad, or no opinion. Expectation-maximisation over the
 counts of all vote patterns estimates how accurate each labeller is and how likely every pattern is to
-come from a good document, without a human label. The posteriors label a bounded sample of documents, on
-which a linear scorer over hashed byte trigrams is trained; it then scores whole texts, so it also ranks
-the documents on which labellers are silent.
+come from a good document, without a human label. The posteriors label a bounded sample of documents (at
+most `sample`, half of them likely bad, no two with one id), on whose whole texts a linear scorer over
+hashed byte trigrams is trained; it then scores whole texts, so it also ranks the documents on which
+labellers are silent.
 
 Labellers (fixed thresholds): share of letters, share of upper case, symbols a word, exclamation marks a
 word, bars a word, share of short words, shares of distinct lines and of distinct words, and share of words
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._sample import sampled
 from ._spark import arrow_map, kept, text_bytes
 from ._vector import Words, chunks
 
@@ -212,9 +214,8 @@ class QualityModel:
         # good and bad halves of the sample: documents with the smallest hashes of their ids
         likely = dict(zip(patterns.tolist(), self.labels.posterior(votes_of(patterns)).tolist()))
         bad = [p for p, x in likely.items() if x < 0.5]
-        order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("pattern")]
-        halves = [self.votes.where(c).orderBy(*order).limit(sample // 2) for c in (F.col("pattern").isin(bad), ~F.col("pattern").isin(bad))]
-        chosen = halves[0].unionByName(halves[1]).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        named = self.votes.select(F.col("doc_id").alias("id"), "pattern", F.col("pattern").isin(bad).alias("bad"))
+        chosen = sampled(named, "bad", sample // 2, {"pattern": F.col("pattern")}).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "pattern")
 
         def count(batches):
             for b in batches:
@@ -222,8 +223,10 @@ class QualityModel:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("pattern"), *(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))], names=["doc_id", "pattern", "h", "c"])
 
         # whole texts stay on the executors, only their sparse counts come here
-        picked = self.rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "pattern", "text")
-        found = sorted(tuple(map(r.get, ("doc_id", "h", "c", "pattern"))) for r in arrow_map(picked, count, "doc_id long, pattern long, h binary, c binary").toArrow().to_pylist())
+        picked = self.rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "pattern", "text")  # `sample` rows at most
+        counts = arrow_map(picked, count, "doc_id long, pattern long, h binary, c binary")
+        one = counts.groupBy("doc_id").agg(F.min(F.struct("h", "c", "pattern")).alias("x"))  # one text an id, however many share it
+        found = sorted((r["doc_id"], r["h"], r["c"], r["pattern"]) for r in one.select("doc_id", "x.*").toArrow().to_pylist())
         if found:
             counted = [(np.frombuffer(h, dtype=np.uint16), np.frombuffer(c, dtype=np.uint32)) for _, h, c, _ in found]
             self.weights, self.intercept = train_scorer(counted, votes_of(np.array([p for *_, p in found])), np.array([likely[p] for *_, p in found]))

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loresift.llm.quality import FEATURES, LABELLERS, QualityModel, expectation_maximisation, pattern_of, quality_scores, score_texts, trigrams, votes, votes_of
+from loresift.llm.quality import FEATURES, LABELLERS, QualityModel, expectation_maximisation, pattern_of, quality_scores, said, score_texts, trigrams, votes, votes_of
 
 
 def test_em_recovers_accuracies():
@@ -61,3 +61,24 @@ def test_scorer_is_trained_on_whole_texts(spark):
     seen[trigrams(rows[1][1].encode())[0]] = True
     seen[trigrams(rows[0][1].encode())[0]] = False
     assert seen.any() and (model.weights[:-27][seen] != 0).all()
+
+
+def test_repeated_ids_reach_the_driver_once(spark):
+    many = spark.range(50_000).selectExpr("1L AS doc_id", "concat('Some words of a plain text that go on ', id) AS text")
+    rest = spark.createDataFrame([(i + 5, "Some words of a plain text. " * 3 if i % 2 else "A%%% B### &&&C $$$" * 9) for i in range(60)], "doc_id long, text string")
+    model = QualityModel(many.unionByName(rest), sample=20)
+    assert (model.weights != 0).any() and model.scores().count() == 50_060
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    """Every row's score, recomputed trigram by trigram from the fitted weights."""
+    rows = [(i, f"Text number {i} goes on. " * (i % 7 + 1) if i % 3 else f"@@ {i} ## $$ é" * (i % 5)) for i in range(60)]
+    model = QualityModel(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x["doc_id"]: x for x in model.scores().collect()}
+    for i, t in rows:
+        v = votes([t.encode()])
+        h, c = trigrams(t.encode())
+        z = (model.weights[h] @ c) / max(1, len(t.encode())) + model.weights[said(v)[0]].mean() + model.intercept
+        want = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if t.strip() else 0.0
+        assert abs(got[i]["quality"] - want) < 1e-9 and got[i]["keep"] == (want >= 0.5)
+        assert abs(got[i]["label"] - model.labels.posterior(v)[0]) < 1e-12
