@@ -100,16 +100,21 @@ e AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY
 k AS (SELECT e.doc_id, string_agg(x[2 * before + 1:2 * lo], '' ORDER BY lo) || any_value(x)[2 * max(hi) + 1:] AS kept, sum(hi - lo) AS n, count(*) AS spans FROM e JOIN w USING (doc_id) GROUP BY e.doc_id)
 SELECT w.doc_id, length(x) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
     "op4_mixing": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '') || ':17') AS key FROM documents),
-s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':17') AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rank FROM s),
 x AS (SELECT *, [5.0, 2.0, 1.0][rank % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM w),
 l AS (SELECT *, cap / weight AS level FROM x),
 t AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY level, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY level, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS time FROM l),
 c AS (SELECT coalesce((SELECT time FROM t WHERE level >= time ORDER BY level, rank LIMIT 1), (SELECT max(level) FROM t)) AS cut),
-g AS (SELECT source, source_size, least(cut * weight, cap) AS target FROM t, c),
-o AS (SELECT d.doc_id, d.size, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target, (greatest(0, least(size, floor(target + 1e-6) - before)) + greatest(0, least(size, floor(target + 1e-6) - before - source_size)))::BIGINT AS taken FROM o""",
+g AS (SELECT source, source_size, rank, weight, least(cut * weight, cap) AS target, floor(1.5::DOUBLE * sum(source_size) OVER () + 1e-6)::BIGINT AS budget FROM t, c),
+o AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.rank, g.weight, g.budget, row_number() OVER () AS id, (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT *, unnest([0, 1]) AS epoch FROM o WHERE size > 0),
+p AS (SELECT *, unnest(range(0, size, 256)) AS i FROM e),
+q AS (SELECT id, rank, weight, budget, least(256, size - i) AS words, start + epoch * source_size + i + least(256, size - i) AS upto FROM p),
+m AS (SELECT *, sum(words) OVER (ORDER BY upto / weight, rank, upto ROWS UNBOUNDED PRECEDING) AS total FROM q),
+k AS (SELECT id, sum(greatest(0, least(words, budget - (total - words)))) AS taken FROM m GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM o LEFT JOIN k USING (id)""",
     "op10_warc": r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -23,12 +24,36 @@ def fill(sizes, weights, share, epochs):
     return out
 
 
+def key(rows):
+    return sorted((x["doc_id"], sum(p["taken"] for p in x["passes"])) for x in rows)
+
+
+def plain(rows, sizes, packet=256, budget=None):
+    """The mix by a loop: all packets of all queues in the order of finish time, until the budget is spent."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    packets, taken = [], [0] * len(rows)
+    for rank, s in enumerate(names):
+        own = sorted((md5(f"{i}:{md5(t or '')}:17"), i, len((t or "").split()), at) for at, (i, t, x) in enumerate(rows) if x == s)
+        sent = 0
+        for _ in range(2):
+            for _, _, n, at in own:
+                for a in range(0, n, packet):
+                    sent += min(packet, n - a)
+                    packets.append((sent / (5.0, 2.0, 1.0)[rank % 3], rank, sent, min(packet, n - a), at))
+    left = int(1.5 * sum(sizes.values()) + 1e-6)
+    for *_, n, at in sorted(packets):
+        taken[at] += min(n, left)
+        left -= min(n, left)
+    return sorted((rows[at][0], n) for at, n in enumerate(taken))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_targets_and_taken(spark, seed):
     r = random.Random(seed)
     names = ["a", "b", "ß", "Z", "𝒜", None, "src10", "src9"][: 3 + seed * 2]
-    rows = [(i, " ".join(["w"] * r.randrange(0, 40)) if r.random() > 0.05 else None, r.choice(names[:2] * 4 + names)) for i in range(400)]
-    rows += rows[:3]
+    rows = [(i, " ".join(["w"] * r.randrange(0, r.choice([5, 40, 900]))) if r.random() > 0.05 else None, r.choice(names[:2] * 4 + names)) for i in range(400)]
+    rows += [(i + 1000, t, s) for i, t, s in rows[:3]] + rows[:1]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = schedule(plan(df)).collect()
     assert len(got) == len(rows)
@@ -42,9 +67,10 @@ def test_targets_and_taken(spark, seed):
         target[x["source"]] = x["target"]
     want = fill(dict(sizes), (5, 2, 1), 1.5, 2)
     for s in sizes:
-        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 1
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 256 * len(want)
+    assert sum(taken.values()) == int(1.5 * sum(sizes.values()) + 1e-6)
+    assert key(got) == plain(rows, sizes)
     assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values()))
-    key = lambda rows: sorted((x["doc_id"], sum(p["taken"] for p in x["passes"])) for x in rows)
     assert key(got) == key(schedule(plan(df.repartition(7))).collect())
 
 
