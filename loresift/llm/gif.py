@@ -3,12 +3,12 @@
 `decode` reads any GIF87a/89a: it decodes the LZW code streams, applies local and global palettes,
 interlacing, transparency and the disposal rules, and returns timed frames. `frames` turns a column of
 files into one row per frame with its delay, size, composed picture and a colour histogram. `encode`
-writes index samples losslessly, without loss of a value and without compression (literal codes with a
-clear code before the code size would grow), which any decoder reads.
+writes samples losslessly as compressed code streams with a grey palette, so that a composed pixel is its
+sample.
 
-Code streams are read without a loop over codes where that can be: between clear codes the width of the
-n-th code depends on n alone, so codes are cut out by array operations; runs of literals are copied, and
-only runs that use the string table are expanded code by code.
+Between clear codes the width of the n-th code depends on n alone, so codes are packed and cut out by array
+operations, any number of them, and expanded by pointers into what they stand for; only the coder builds its
+string table code by code.
 
 Defined results: null counts as the empty payload; a payload is padded with bytes 255 to a positive
 multiple of 576 samples; equal payloads give equal files; a file that is cut short or no GIF gives no
@@ -25,12 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._spark import arrow_map, text_bytes
+from ._spark import arrow_map, kept, text_bytes
 
 ROW = 576
 #: Rows of samples in a frame, at most: a frame is decoded at once.
 FRAME_ROWS = 16
-_BATCH = 254  # literals after which the code size would grow
 GRID = 4  # histogram bins a colour channel
 
 
@@ -38,15 +37,70 @@ def grey_palette() -> bytes:
     return bytes(np.repeat(np.arange(256, dtype=np.uint8), 3))
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    """9-bit codes, least significant bit first."""
-    n = -len(codes) % 8
-    c = np.concatenate([codes, np.zeros(n, dtype=np.uint16)]).reshape(-1, 8).astype(np.uint32)
-    out = np.zeros((len(c), 9), dtype=np.uint32)
-    for i in range(8):
-        out[:, i] |= (c[:, i] << i) & 0xFF
-        out[:, i + 1] |= c[:, i] >> (8 - i)
-    return out.astype(np.uint8).tobytes()[: -(-len(codes) * 9 // 8)]
+def _widths(first: int, n: int) -> np.ndarray:
+    """Widths of the n codes after a clear code: the table grows with every code but the first."""
+    at = np.minimum(np.maximum(np.arange(n) - 1, 0) + (1 << first) + 2, 4095)
+    return np.maximum(np.floor(np.log2(at)).astype(np.int64) + 1, first + 1)
+
+
+_BITS = np.arange(12, dtype=np.uint16)
+
+
+class _Places:
+    """Widths and bit places of the codes after a clear code, by number, grown on demand."""
+
+    def __init__(self, first: int):
+        self.first = first
+        self.grow(1 << 14)
+
+    def grow(self, n: int) -> None:
+        self.widths = _widths(self.first, n)
+        self.offsets = np.concatenate([[0], np.cumsum(self.widths)])
+
+    def upto(self, n: int) -> np.ndarray:
+        while len(self.widths) < n:
+            self.grow(2 * len(self.widths))
+        return self.widths
+
+
+_PLACES = {k: _Places(k) for k in range(2, 9)}
+
+
+def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of the given widths (12 bits at most) as bytes, least significant bit first."""
+    bits = (codes.astype(np.uint16)[:, None] >> _BITS) & np.uint16(1)
+    return np.packbits(bits[_BITS < widths[:, None]].astype(bool), bitorder="little").tobytes()
+
+
+def compress(samples: bytes, code_size: int = 8) -> bytes:
+    """An LZW code stream: the table is cleared when it is full."""
+    clear, end = 1 << code_size, (1 << code_size) + 1
+    runs, table, free = [], {}, end + 1
+    codes: list[int] = []
+    word = -1
+    for s in samples:
+        if word < 0:
+            word = s
+            continue
+        key = word << 8 | s
+        if (longer := table.get(key)) is not None:
+            word = longer
+            continue
+        codes.append(word)
+        word = s
+        if free < 4095:
+            table[key] = free
+            free += 1
+        else:  # the decoder's table is full with the next code
+            runs.append(codes)
+            codes, table, free = [], {}, end + 1
+    if word >= 0:
+        codes.append(word)
+    runs.append(codes)
+    # the code after a run, a clear code or the end, has the width of the next code
+    every = [clear, *(c for run in runs[:-1] for c in (*run, clear)), *runs[-1], end]
+    widths = _PLACES[code_size].upto(max(map(len, runs)) + 1)
+    return _pack(np.array(every, dtype=np.uint16), np.concatenate([widths[:1], *(widths[: len(run) + 1] for run in runs)]))
 
 
 def _blocks(data: bytes) -> bytes:
@@ -65,14 +119,8 @@ def encode(samples: bytes, width: int = ROW, frame_rows: int = FRAME_ROWS, delay
     out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), grey_palette()]
     for top in range(0, rows, frame_rows):
         part = x[top * width : (top + frame_rows) * width]
-        n = -(-len(part) // _BATCH)
-        codes = np.full((n, _BATCH + 1), 256, dtype=np.uint16)  # a clear code starts every run
-        flat = np.zeros(n * _BATCH, dtype=np.uint16)
-        flat[: len(part)] = part
-        codes[:, 1:] = flat.reshape(n, _BATCH)
-        codes = np.append(codes.reshape(-1)[: len(part) + n], np.uint16(257))
         out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 0x04, delay, 0, 0))  # disposal 1, no transparency
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08" + _blocks(_pack9(codes)))
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08" + _blocks(compress(part.tobytes())))
     return b"".join(out) + b"\x3b"
 
 
@@ -80,16 +128,6 @@ class BadGif(ValueError):
     """The file is no GIF, or ends too early."""
 
 
-def _widths(first: int, n: int) -> np.ndarray:
-    """Widths of the codes after a clear code: the table grows with every code but the first."""
-    at = np.maximum(np.arange(n) - 1, 0) + (1 << first) + 2
-    return np.minimum(np.maximum(np.floor(np.log2(np.maximum(at, 1))).astype(np.int64) + 1, first + 1), 12)
-
-
-_WIDTHS = {k: _widths(k, 1 << 14) for k in range(2, 9)}
-_OFFSETS = {k: np.concatenate([[0], np.cumsum(w)]) for k, w in _WIDTHS.items()}
-
-
 def lzw(data: bytes, code_size: int, expected: int) -> np.ndarray:
     """Samples of an LZW code stream, `expected` of them."""
     if not 2 <= code_size <= 8:
@@ -97,71 +135,58 @@ def lzw(data: bytes, code_size: int, expected: int) -> np.ndarray:
     clear, end, first_free = 1 << code_size, (1 << code_size) + 1, (1 << code_size) + 2
     buf = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(4, dtype=np.uint8)]).astype(np.uint32)
     bits, at, have = len(data) * 8, 0, 0
-    out: list[np.ndarray] = []
-    offsets, widths = _OFFSETS[code_size], _WIDTHS[code_size]
-    guess = 512
+    out: list[bytes] = []
+    places, guess = _PLACES[code_size], 4096
     while have < expected:
-        n = min(guess, len(widths), int(np.searchsorted(offsets, bits - at, side="right")) - 1)
+        places.upto(guess)
+        offsets = places.offsets
+        n = min(guess, int(np.searchsorted(offsets, bits - at, side="right")) - 1)
         if n <= 0:
             raise BadGif("the code stream ends early")
         pos = at + offsets[:n]
         byte = pos >> 3
-        codes = ((buf[byte] | buf[byte + 1] << 8 | buf[byte + 2] << 16) >> (pos & 7).astype(np.uint32)) & ((1 << widths[:n]) - 1).astype(np.uint32)
+        codes = ((buf[byte] | buf[byte + 1] << 8 | buf[byte + 2] << 16) >> (pos & 7).astype(np.uint32)) & ((1 << places.widths[:n]) - 1).astype(np.uint32)
         stop = np.flatnonzero((codes == clear) | (codes == end))
-        if not len(stop) and n == guess and n < len(widths):
-            guess = min(guess * 4, len(widths))
+        if not len(stop) and n == guess:
+            guess *= 2
             continue
         size = int(stop[0]) if len(stop) else n
-        run, got = codes[:size], None
         if size:
-            got = run.astype(np.uint8) if int(run.max()) < clear else _strings(run, clear, first_free)
-            out.append(got)
-            have += len(got)
-        if not len(stop):
-            if n < len(widths):
-                break
-            raise BadGif("no clear code in a very long run")
-        at += int(offsets[size + 1])
-        if codes[size] == end:
+            out.append(_strings(codes[:size], clear, first_free))
+            have += len(out[-1])
+        if not len(stop) or codes[size] == end:
             break
-        guess = 512
-        if size and got is not None and len(got) == size:  # runs of equal length may follow: take them at once
-            period = int(offsets[size + 1])
-            m = min((bits - at) // period, (expected - have) // size)
-            if m > 1:
-                pos = at + (np.arange(m)[:, None] * period + offsets[: size + 1])
-                byte = pos >> 3
-                many = ((buf[byte] | buf[byte + 1] << 8 | buf[byte + 2] << 16) >> (pos & 7).astype(np.uint32)) & ((1 << widths[: size + 1]) - 1).astype(np.uint32)
-                fits = (many[:, :size] < clear).all(axis=1) & (many[:, size] == clear)
-                m = m if fits.all() else int(np.argmin(fits))
-                out.append(many[:m, :size].astype(np.uint8).reshape(-1))
-                have += m * size
-                at += m * period
+        at += int(offsets[size + 1])
     if have < expected:
         raise BadGif("the code stream ends early")
-    return np.concatenate(out)[:expected] if out else np.zeros(0, dtype=np.uint8)
-
-
-def _strings(codes: np.ndarray, clear: int, first_free: int) -> np.ndarray:
-    """Expand codes that use the string table."""
-    table = [bytes([i]) for i in range(clear)] + [b"", b""]
-    codes = codes.tolist()
-    last = table[codes[0]] if codes[0] < clear else None
-    if last is None:
-        raise BadGif("the first code is no literal")
-    out = [last]
-    for c in codes[1:]:
-        if c < len(table):
-            now = table[c]
-        elif c == len(table) and c < 4096:
-            now = last + last[:1]
-        else:
-            raise BadGif(f"code {c} is not in the table")
-        if len(table) < 4096:
-            table.append(last + now[:1])
-        out.append(now)
-        last = now
-    return np.frombuffer(b"".join(out), dtype=np.uint8)
+    return np.frombuffer(b"".join(out), dtype=np.uint8)[:expected]
+
+
+def _roots(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Follow pointers to smaller places until they rest: where they end, and after how many steps."""
+    steps = (of != np.arange(len(of))).astype(np.int64)
+    while True:
+        further = of[of]
+        if (further == of).all():
+            return of, steps
+        steps, of = steps + steps[of], further
+
+
+def _strings(codes: np.ndarray, clear: int, first_free: int) -> bytes:
+    """What the codes between two clear codes stand for. The n-th code adds the string of the code before
+    it and its own first byte to the table, so a table entry is a stretch of the output: its length and its
+    bytes follow from pointers back to literals."""
+    codes, at = codes.astype(np.int64), np.arange(len(codes))
+    literal = codes < clear
+    entry = np.where(literal, at, codes - first_free)  # the code at whose output an entry starts
+    if not literal[0] or (entry[~literal] >= at[~literal]).any():
+        raise BadGif("a code is not in the table")
+    length = _roots(entry)[1] + 1
+    start = np.cumsum(length) - length
+    code = np.repeat(at, length)
+    place = np.arange(len(code))
+    source = _roots(np.where(literal[code], place, start[entry[code]] + place - start[code]))[0]
+    return codes[code[source]].astype(np.uint8).tobytes()
 
 
 def _deinterlace(x: np.ndarray) -> np.ndarray:
@@ -244,9 +269,12 @@ def decode(data: bytes, compose: bool = True):
             before = canvas[top : top + h, left : left + w].copy() if disposal == 3 else None
             padded = np.zeros((256, 3), dtype=np.uint8)
             padded[: len(colours)] = colours
-            shown = np.ones(index.shape, dtype=bool) if transparent is None else index != transparent
             spot = canvas[top : top + h, left : left + w]
-            spot[shown, :3], spot[shown, 3] = padded[index[shown]], 255
+            if transparent is None:
+                spot[..., :3], spot[..., 3] = padded[index], 255
+            else:
+                shown = index != transparent
+                spot[shown, :3], spot[shown, 3] = padded[index[shown]], 255
             frame["rgba"] = canvas.copy()
             if disposal == 2:
                 spot[:] = 0
@@ -258,8 +286,9 @@ def decode(data: bytes, compose: bool = True):
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Counts of the visible pixels in GRID bins a channel."""
-    seen = rgba[rgba[..., 3] > 0][:, :3].astype(np.int64) * GRID // 256
-    return np.bincount(seen[:, 0] * GRID * GRID + seen[:, 1] * GRID + seen[:, 2], minlength=GRID**3)
+    bin_ = rgba // np.uint8(256 // GRID)
+    seen = bin_[..., 0] * np.uint8(GRID * GRID) + bin_[..., 1] * np.uint8(GRID) + bin_[..., 2]
+    return np.bincount(seen[rgba[..., 3] > 0], minlength=GRID**3)
 
 
 FRAMES = "id long, frame int, start_ms long, delay_ms long, disposal int, transparent boolean, width int, height int, histogram array<long>, rgba binary, error string"
@@ -296,7 +325,8 @@ def payload_of(text: bytes) -> bytes:
 
 
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, content): every text's payload as a GIF of index samples."""
+    """(doc_id, n_bytes, content): every text's payload as a GIF of grey samples, written to the shared
+    folder; what is returned reads the stored files."""
 
     def run(batches):
         for b in batches:
@@ -306,22 +336,28 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return arrow_map(rows, run, "doc_id long, n_bytes long, content binary")
+    return kept(arrow_map(rows, run, "doc_id long, n_bytes long, content binary"), "media")
 
 
 def read_back(media: DataFrame) -> DataFrame:
     """What the stored files of (doc_id, n_bytes, content) hold: payload, file digests and a feature, the
-    histogram of sample values in 16 bins together with the number of frames and their time."""
+    colour histogram over all frames as composed (its bins that are not empty), with their number and time.
+    The payload is read from the composed pictures, whose pixels are grey samples."""
 
     def run(batches):
         for b in batches:
             cols = [[] for _ in range(6)]
             for content in b.column("content").to_pylist():
-                found = list(decode(content, compose=False))
-                samples = np.concatenate([f["index"].reshape(-1) for f in found])
-                data = samples.tobytes()
-                bins = np.bincount(samples >> 4, minlength=16)
-                feature = f"frames={len(found)};ms={sum(f['delay_ms'] for f in found)};hist=" + ",".join(map(str, bins.tolist()))
+                n = ms = 0
+                bins, parts = np.zeros(GRID**3, dtype=np.int64), []
+                for n, f in enumerate(decode(content), 1):
+                    h, w = f["index"].shape
+                    shown = f["rgba"][f["top"] : f["top"] + h, f["left"] : f["left"] + w]
+                    parts.append(shown[..., 0].tobytes())
+                    bins += histogram(shown)
+                    ms += f["delay_ms"]
+                data = b"".join(parts)
+                feature = f"frames={n};ms={ms};hist=" + ",".join(f"{i}:{bins[i]}" for i in np.flatnonzero(bins))
                 for c, v in zip(cols, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(content), hashlib.sha256(content).hexdigest(), feature)):
                     c.append(v)
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

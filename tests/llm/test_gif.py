@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loresift.llm import gif as coder
 from loresift.llm.gif import BadGif, decode, encode, frames, lzw, payload_of, read_back, store
 
 
@@ -62,6 +63,33 @@ def test_lzw_against_a_plain_coder(code_size, n):
     alphabet = 1 << code_size
     for samples in (bytes(r.randrange(alphabet) for _ in range(n)), bytes(min(alphabet - 1, int(r.expovariate(1))) for _ in range(n)), bytes(n), bytes((0, 1) * (n // 2) + (0,) * (n % 2))):
         assert lzw(compress(samples, code_size), code_size, n).tobytes() == samples
+        assert coder.compress(samples, code_size) and lzw(coder.compress(samples, code_size), code_size, n).tobytes() == samples
+
+
+def test_streams_use_the_string_table():
+    text = ("the quick brown fox jumps over the lazy dog " * 400).encode()
+    assert len(coder.compress(text)) < len(text) / 5
+    assert len(encode(payload_of(text))) < len(text) / 3
+
+
+@pytest.mark.parametrize("n", [30_000, 100_000])
+def test_long_streams_that_never_clear(n):
+    """Once the table is full a coder may go on with it: any number of codes follow one clear code."""
+    r = np.random.default_rng(n)
+    samples = r.integers(0, 256, n).astype(np.uint8)
+    table, codes, word, free = {}, [], int(samples[0]), 258
+    for s in samples[1:].tolist():
+        if (word, s) in table:
+            word = table[word, s]
+            continue
+        codes.append(word)
+        if free < 4096:
+            table[word, s] = free
+            free += 1
+        word = s
+    codes.append(word)
+    bits = coder._pack(np.array([256, *codes, 257]), np.concatenate([[9], coder._widths(8, len(codes) + 1)]))
+    assert len(codes) > 16_384 and (lzw(bits, 8, n) == samples).all()
 
 
 @pytest.mark.parametrize("n", [576, 576 * 15, 576 * 16, 576 * 17, 576 * 40])
@@ -109,6 +137,11 @@ def test_documents(spark):
         assert len(data) % 576 == 0 and data and data.startswith((t or "").encode()) and set(data[len((t or "").encode()) :]) <= {255}
         assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len((t or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
     assert got[4]["media_sha256"] == got[7]["media_sha256"] and got[4]["feature"] == got[7]["feature"]
+    for i, t in rows:
+        data, x = payload_of((t or "").encode()), got[i]
+        shot = [np.frombuffer(data, dtype=np.uint8)[a : a + 576 * 16] for a in range(0, len(data), 576 * 16)]
+        bins = np.bincount(np.concatenate(shot) // 64, minlength=4)
+        assert x["feature"] == f"frames={len(shot)};ms={40 * len(shot)};hist=" + ",".join(f"{21 * i}:{n}" for i, n in enumerate(bins) if n)
     assert read_back(store(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
 
 
