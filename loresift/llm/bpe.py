@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-A text is first cut where the tokenizer's own pattern always cuts: before white space that follows
-something else, and around special tokens. Such parts are independent, so most texts are encoded part by
-part or whole. A part that has no such place and is longer than `leaf_chars` (long unsplit text: an
-endless word, a run of blanks) would cost more than its length to merge; it is halved again and again,
-the leaves are encoded in parallel, and every join is mended: the last tokens of the left half and the
-first of the right half are encoded anew as one window, which grows until it begins with the left half's
-tokens and ends with the right half's.
+Special tokens are cut out first; what stands between them is unsplit text. If it is longer than
+`leaf_chars` it is halved again and again, the leaves are encoded in parallel (by a pool of threads, as the
+libraries work without the interpreter's lock), and halves are joined level by level, the joins of a level in
+parallel too. A join is mended: the last tokens of the left half and the first of the right half are encoded
+anew as one window, which grows until its outer halves repeat the tokens of both sides exactly. Halves are cut
+where the tokenizer's pattern always cuts, before white space that follows something else, if such a place
+is near; the join is then right as it stands, and is not encoded again. Unsplit runs (an endless word, a run
+of blanks) have no such place.
 
 Texts of plain Latin characters go through the faster of two public libraries that share the vocabulary;
 all other texts go through the reference library, so that differences between the two in Unicode classes
@@ -22,6 +23,7 @@ import base64
 import hashlib
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from ._spark import arrow_map
 
 LEAF_CHARS = 2048
+#: Threads that encode the leaves of one text, and leaves from which on they are used.
+THREADS, PARALLEL = 4, 8
 SPECIAL = "<|endoftext|>"
 #: Characters whose classes all Unicode versions and both libraries agree on.
 _PLAIN = re.compile("[^\t-\r -~¡-ɏ‐-‧‰-⁞₠-₿]")
@@ -67,7 +71,7 @@ class Codec:
         self.bytes[self.special] = SPECIAL.encode()
         self.size = np.array([len(b) for b in self.bytes])
         self.leaf_chars = leaf_chars
-        self.unsplit = re.compile(r"\S{%d}|\s{%d}" % (leaf_chars, leaf_chars))
+        self.pool = None
 
     def leaf(self, text: str) -> np.ndarray:
         """Tokens of a text without special tokens, by one of the libraries."""
@@ -84,45 +88,42 @@ class Codec:
             if i:
                 out.append(np.array([self.special], dtype=np.uint32))
             if part:
-                out += self._part(part)
+                out.append(self.tree(part) if len(part) > self.leaf_chars else self.leaf(part))
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
-    def _part(self, text: str) -> list[np.ndarray]:
-        if not self.unsplit.search(text):
-            return [self.leaf(text)]
-        out, short = [], []
-        for piece in self._hard_pieces(text):
-            if len(piece) <= self.leaf_chars:
-                short.append(piece)
-                continue
-            if short:
-                out.append(self.leaf("".join(short)))
-                short = []
-            out.append(self.tree(piece))
-        if short:
-            out.append(self.leaf("".join(short)))
-        return out
+    def each(self, f, rows: list) -> list:
+        """f of every row, by several threads where that is worth it."""
+        if len(rows) < PARALLEL:
+            return [f(x) for x in rows]
+        self.pool = self.pool or ThreadPoolExecutor(THREADS)
+        return list(self.pool.map(f, rows))
 
-    @staticmethod
-    def _hard_pieces(text: str) -> list[str]:
-        at = [0, *(m.start() for m in _HARD.finditer(text)), len(text)]
-        return [text[a:b] for a, b in zip(at, at[1:])]
+    def cuts(self, text: str) -> list[int]:
+        """Where to cut text into leaves: in even parts, moved on to a place where the pattern always cuts if
+        there is one before the middle of the next part."""
+        n = -(-len(text) // self.leaf_chars)
+        at = [0]
+        for i in range(1, n):
+            even = len(text) * i // n
+            found = _HARD.search(text, even, min(len(text), even + self.leaf_chars // 2))
+            at.append(found.start() if found else even)
+        return [*at, len(text)]
 
     def tree(self, text: str) -> np.ndarray:
         """Tokens of unsplit text: encode its leaves, then join neighbours level by level."""
-        n = -(-len(text) // self.leaf_chars)
-        at = [len(text) * i // n for i in range(n + 1)]
+        at = self.cuts(text)
         spans = list(zip(at, at[1:]))
-        level = [(a, b, self.leaf(text[a:b])) for a, b in spans]
+        level = [(a, b, x) for (a, b), x in zip(spans, self.each(lambda s: self.leaf(text[s[0] : s[1]]), spans))]
         while len(level) > 1:
-            joined = [(x[0], y[1], self.join(text, x, y)) for x, y in zip(level[::2], level[1::2])]
+            pairs = list(zip(level[::2], level[1::2]))
+            joined = [(x[0], y[1], z) for (x, y), z in zip(pairs, self.each(lambda p: self.join(text, *p), pairs))]
             level = joined + level[len(joined) * 2 :]
         return level[0][2]
 
     def join(self, text: str, left, right) -> np.ndarray:
         """Tokens of two neighbouring pieces from the tokens of each."""
         (a, m, x), (_, b, y) = left, right
-        if m == a or m == b:
+        if m == a or m == b or _HARD.match(text, m):
             return np.concatenate([x, y])
         span = 16
         while True:
@@ -131,11 +132,10 @@ class Codec:
             lo, hi = a + lo, m + hi
             whole_left, whole_right = i == 0, j == len(y)
             if whole_left and whole_right:
-                return self._window(text[a:b])
-            z = self._window(text[lo:hi])
-            agree = max(4, span // 4)
-            ok_left = whole_left or self._agree(x[i : i + agree], z[:agree])
-            ok_right = whole_right or self._agree(y[max(0, j - agree) : j], z[-agree:])
+                return self.leaf(text[a:b])
+            z = self.leaf(text[lo:hi])
+            ok_left = whole_left or self._agree(x[i : i + span // 2], z[: span // 2])
+            ok_right = whole_right or self._agree(y[j - span // 2 : j], z[-(span // 2) :])
             if ok_left and ok_right:
                 return np.concatenate([x[:i], z, y[j:]])
             span *= 2
@@ -144,9 +144,6 @@ class Codec:
     def _agree(p: np.ndarray, q: np.ndarray) -> bool:
         return len(p) == len(q) and bool((p == q).all())
 
-    def _window(self, text: str) -> np.ndarray:
-        return self.leaf(text)
-
     def _char_start(self, text: str, ids: np.ndarray, i: int, back: bool):
         """The token at or beyond i, outwards, that starts with a whole character where a window may
         begin or end, and its place in the text."""

@@ -62,3 +62,20 @@ def test_frames(spark):
     assert got == {i: expected(t or "") for i, t in rows}
     assert {r["doc_id"]: r["text"] for r in decode(out).collect()} == {i: t or "" for i, t in rows}
     assert encode(df.limit(0)).collect() == []
+
+
+def test_long_texts_go_through_the_tree():
+    """Texts over a leaf's length are encoded leaf by leaf, whatever they hold; unsplit runs are mended."""
+    r = random.Random(3)
+    for text in (" ".join("".join(r.choice("etaoin'srh1") for _ in range(r.randrange(1, 12))) for _ in range(4000)), "".join(r.choice("etaoinsrh") for _ in range(30_000)), "é " * 9000 + "x" * 9000):
+        c = Codec(vocabulary())
+        seen, leaf = [], c.leaf
+        c.leaf = lambda t: (seen.append(len(t)), leaf(t))[1]
+        assert c.encode(text).tolist() == expected(text)
+        assert len(seen) >= len(text) // 2048 and max(seen) < 6000 and c.pool is not None
+
+
+def test_joins_wait_until_both_sides_agree():
+    c = Codec(vocabulary(), 64)
+    text = "".join(random.Random(5).choice("ab") for _ in range(500))
+    assert c.join(text, (0, 250, c.leaf(text[:250])), (250, 500, c.leaf(text[250:]))).tolist() == expected(text)
