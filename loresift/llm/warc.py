@@ -103,7 +103,7 @@ def _archive(name: str, content: bytes) -> pa.RecordBatch:
 
 def records_of(content: bytes, step: int = 1 << 18):
     """Whole records of a gzip file (any number of members), inflated once as a stream."""
-    pending, z, at = b"", zlib.decompressobj(31), 0
+    reader, z, at = _Records(), zlib.decompressobj(31), 0
     while at < len(content) or z.unconsumed_tail:
         if z.eof:
             rest = z.unused_data
@@ -115,26 +115,45 @@ def records_of(content: bytes, step: int = 1 << 18):
         while z.eof and z.unused_data and at >= len(content):
             rest, z = z.unused_data, zlib.decompressobj(31)
             data += z.decompress(rest)
-        pending += data
-        start = 0
-        while (size := _record_size(pending, start)) and start + size <= len(pending):
-            yield pending[start : start + size]
-            start += size
-        pending = pending[start:]
-    if pending.strip():
+        yield from reader.add(data)
+    if reader.rest().strip():
         raise ValueError("the archive ends within a record")
 
 
-def _record_size(data: bytes, start: int) -> int:
-    """Length of the record at `start`, or 0 if its head is not there yet."""
-    end = data.find(b"\r\n\r\n", start)
-    if end < 0:
-        return 0
-    at = data.rfind(b"\r\nContent-Length:", start, end)
+class _Records:
+    """Cuts a stream into records. Pieces of a record are joined only once it is whole, and a head is
+    looked for only where it was not looked for before, so the work is linear in the stream."""
+
+    def __init__(self):
+        self.parts, self.have, self.size, self.head = [], 0, None, bytearray()
+
+    def add(self, data: bytes):
+        while data:
+            if self.size is None:
+                seen = max(0, len(self.head) - 3)
+                self.head += data
+                end = self.head.find(b"\r\n\r\n", seen)
+                if end < 0:
+                    return
+                self.size = end + 4 + _block_size(bytes(self.head[: end + 2])) + 4
+                data, self.head = bytes(self.head), bytearray()
+            take = data[: self.size - self.have]
+            self.parts.append(take)
+            self.have += len(take)
+            data = data[len(take) :]  # at most one step of the stream
+            if self.have == self.size:
+                yield b"".join(self.parts)
+                self.parts, self.have, self.size = [], 0, None
+
+    def rest(self) -> bytes:
+        return b"".join(self.parts) + bytes(self.head)
+
+
+def _block_size(head: bytes) -> int:
+    at = head.rfind(b"\r\nContent-Length:")
     if at < 0:
         raise ValueError("a record has no Content-Length")
-    stop = data.find(b"\r\n", at + 2)
-    return end + 4 - start + int(data[at + 17 : stop]) + 4
+    return int(head[at + 17 : head.find(b"\r\n", at + 2)])
 
 
 def header(rec: bytes) -> tuple[dict[str, str], bytes]:

@@ -54,3 +54,21 @@ def test_cut_archive_is_an_error():
     with pytest.raises(ValueError):
         list(records_of(data))
     assert read_records is not None
+
+
+def test_reading_a_long_record_is_linear():
+    """A record is joined once: twice the record takes about twice the pieces handled."""
+    from loresift.llm.warc import _Records, record
+
+    body = record(1, "u", b"x" * (48 << 20), digest("x"), None)
+    small = record(2, "u", b"y", digest("y"), None)
+    reader, out = _Records(), []
+    stream = body + small * 3
+    for at in range(0, len(stream), 1 << 18):
+        out += list(reader.add(stream[at : at + (1 << 18)]))
+        assert reader.size is None or len(reader.head) == 0  # nothing already placed is looked at again
+    assert out == [body, small, small, small] and reader.rest() == b""
+    bits, out = _Records(), []
+    for i in range(len(small * 3)):
+        out += list(bits.add((small * 3)[i : i + 1]))
+    assert out == [small] * 3
