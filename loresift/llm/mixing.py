@@ -104,10 +104,10 @@ def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, epochs: int
     final = inner.drop("before").join(F.broadcast(slot_of_budget(inner, "part", F.col("before"))), "part").withColumn("sum", F.col("before") + F.sum("words").over(Window.orderBy("finish", "rank", "end")))
     final = final.where(F.col("sum") - F.col("words") < F.col("budget"))
     # the last packet of the mix, and its words beyond the budget: one row
-    edge = final.agg(F.max(F.struct("finish", "rank", "end", (F.greatest(F.lit(0).cast("long"), F.col("sum") - F.col("budget"))).alias("over"))).alias("edge")).withColumn("one", F.lit(1))
-    edge = kept(edge, "edge")
-    rows = (queued(base) if carry else queued(sizes)).withColumn("one", F.lit(1)).join(F.broadcast(edge), "one")
-    cut = F.col("edge")
+    over = F.greatest(F.lit(0).cast("long"), F.col("sum") - F.col("budget"))
+    edge = final.agg(F.max(F.struct("finish", "rank", "end", over.alias("over"))).alias("edge")).head()["edge"]
+    cut = {k: F.lit(v).cast("double" if k == "finish" else "long") for k, v in (edge.asDict() if edge else {}).items()}
+    rows = queued(base) if carry else queued(sizes)
 
     def taken(at):
         """Words of a pass that stand in the mix: packets that end at or before the last packet in the merged
@@ -115,7 +115,9 @@ def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, epochs: int
         most = F.floor(cut["finish"] * F.col("weight") + 1e-6).cast("long")  # words its source may have sent
 
         def early(end):
-            return F.struct(finish(end).alias("finish"), F.col("rank"), end.alias("end")) <= F.struct(cut["finish"], cut["rank"], cut["end"])
+            at = finish(end)
+            same = (F.col("rank") < cut["rank"]) | ((F.col("rank") == cut["rank"]) & (end <= cut["end"]))
+            return (at < cut["finish"]) | ((at == cut["finish"]) & same)
 
         whole = F.least(F.col("size"), F.floor(F.greatest(most - at, F.lit(0)) / packet) * packet)
         # rounding may put the last packet on either side: try one more and one less
@@ -125,7 +127,7 @@ def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, epochs: int
 
     def one(e):
         at = F.col("from") + e.cast("long") * F.col("source_size")
-        n = F.when((F.col("size") == 0) | cut.isNull(), F.lit(0).cast("long")).otherwise(taken(at))
+        n = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(taken(at)) if cut else F.lit(0)
         return F.struct(e.alias("epoch"), finish(at).alias("start"), finish(at + F.col("size")).alias("finish"), n.cast("long").alias("taken"))
 
     return rows.select("doc_id", "source", "size", "source_size", "target", F.transform(epoch, one).alias("passes"), *(["row"] if carry else []))
