@@ -17,7 +17,7 @@ from .operators import retrieve as R
 from .operators.reports import Trace
 from .settings import Experiment, Settings
 from .sources import files
-from .sources.session import prepared
+from .sources.session import prepared, stored
 
 
 @dataclass
@@ -80,16 +80,18 @@ class Engine:
         asked = _checked(questions)
         with trace.stage("query_planning"):
             plans = self.plan(asked)
+            plans = stored(plans, "plans")
             forms = Q.retrieval_queries(plans)
             n = s.answering.max_additional + 1
             forms = [forms.where(F.col("query_pos") == i).select("query_id", "query") for i in range(n)]
         with trace.stage("retrieval"):
-            hits = self.search(asked, experiment.retriever if experiment else None, stages, forms)
+            hits = stored(self.search(asked, experiment.retriever if experiment else None, stages, forms), "hits")
         with trace.stage("context_packing"):
             packed = X.assemble(hits, asked, s.context)
         with trace.stage("generation"):
             payloads = G.LLM_CLIENTS[s.answering.client](asked, packed.citations)
-            answers = G.answers(payloads, packed.citations, s.answering.invalid)
+            # a model is asked once, whoever reads its answers
+            answers = G.answers(stored(payloads, "payloads"), packed.citations, s.answering.invalid)
         trace.finish()
         return Answered(plans, hits, packed, answers, trace)
 

@@ -21,6 +21,10 @@ from ..registry import Registry
 PREFIX, ELLIPSIS = 3, 3
 
 
+#: Estimators of the tokens that a text takes, by name.
+ESTIMATORS: Registry = Registry("token estimator", regex=T.budget_tokens)
+
+
 @dataclass(frozen=True)
 class Budget:
     """Token budget of a context and the limits of packing."""
@@ -32,6 +36,10 @@ class Budget:
     margin: int = 64
     per_document: int = 2
     merge_adjacent: bool = True
+    estimator: str = "regex"
+
+    def tokens(self, text: Column) -> Column:
+        return ESTIMATORS[self.estimator](text)
 
     def __post_init__(self):
         if self.static() <= 0 or self.static() < self.max_context:
@@ -41,7 +49,7 @@ class Budget:
         return self.window - self.prompt - self.output - self.margin
 
     def available(self, question: Column) -> Column:
-        left = F.lit(self.static()) - T.budget_tokens(question)
+        left = F.lit(self.static()) - self.tokens(question)
         return F.greatest(F.lit(0), F.least(F.lit(self.max_context), left))
 
 
@@ -137,7 +145,7 @@ def pack(candidates: DataFrame, queries: DataFrame, budget: Budget = Budget()) -
     available_tokens, used_tokens; dropped: query_id, chunk_id, rank, reason.
     """
     rows = candidates.join(queries.select("query_id", budget.available(F.col("query")).alias("available_tokens")), "query_id")
-    rows = rows.withColumn("t", T.budget_tokens(F.col("text")) + PREFIX)
+    rows = rows.withColumn("t", budget.tokens(F.col("text")) + PREFIX)
     upto = Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("sum", F.sum("t").over(upto)).withColumn("left", F.col("available_tokens") - (F.col("sum") - F.col("t")))
     # the first that does not fit keeps `left` tokens, less prefix and ellipsis

@@ -41,6 +41,10 @@ def _gathered(cases: DataFrame, rows: DataFrame, order: str, name: str) -> DataF
     return own.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), identity_of(F.col("identity"), set(rows.columns)).alias("i")))), lambda x: x["i"]).alias(name))
 
 
+# What a review rates.
+REVIEWED = ("answer_relevance", "faithfulness", "groundedness", "citation_correctness")
+
+
 def case_metrics(cases: DataFrame, hits: DataFrame, context: DataFrame, cited: DataFrame, answered: DataFrame) -> DataFrame:
     """The nine metrics of every case: hits by rank, context and cited sources by pos, answers by status.
     Metrics of evidence are null where none is expected."""
@@ -88,3 +92,10 @@ def counts(metrics: DataFrame) -> DataFrame:
 def suite(experiments: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     """Case metrics of several experiments, told apart by `experiment`."""
     return reduce(DataFrame.unionByName, [f().withColumn("experiment", F.lit(n)) for n, f in experiments.items()])
+
+
+def with_review(metrics: DataFrame) -> DataFrame:
+    """Case metrics with an empty `review`, to be filled by people or a later judge, apart from what is
+    measured."""
+    scores = ", ".join(f"{x}: double" for x in REVIEWED)
+    return metrics.withColumn("review", F.lit(None).cast(f"struct<{scores}, failure_type: string, notes: string>"))

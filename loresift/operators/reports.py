@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -47,8 +48,12 @@ def write_json(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").json(path)
 
 
-def write_evaluation(metrics: DataFrame, summary: DataFrame, path: str) -> str:
-    """case_results, failures and summary as JSON lines, and the Markdown page that is returned too."""
+def write_evaluation(metrics: DataFrame, summary: DataFrame, path: str, run: dict | None = None) -> str:
+    """case_results, failures and summary as JSON lines, run.json with what the run was (settings, index),
+    and the Markdown page that is returned too."""
+    if run is not None:
+        said = metrics.sparkSession.createDataFrame([(json.dumps(run, ensure_ascii=False, default=str),)], "value string")
+        said.coalesce(1).write.mode("overwrite").text(f"{path}/run.json")
     write_json(metrics, f"{path}/case_results")
     write_json(metrics.where("status <> 'success'"), f"{path}/failures")
     write_json(summary, f"{path}/summary", single=True)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..registry import Registry
+from ..sources.session import stored
 from .embed import DIMENSION, EMBEDDERS, MODEL
 
 #: A side is sent to every executor only up to so many rows; beyond it joins are left to Spark.
@@ -52,18 +53,34 @@ class TextIndex:
         return cls(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "stats")))
 
 
-def text_index(chunks: DataFrame) -> TextIndex:
-    """Index of (chunk_id, text)."""
-    tokens = chunks.select("chunk_id", T.search_tokens(F.col("text")).alias("tokens"))
-    postings = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = tokens.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg(F.size("tokens")), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-    return TextIndex(postings, terms, stats)
+#: Tokenizers of texts and questions by name: Column to Column of token arrays.
+TOKENIZERS: Registry = Registry("tokenizer", regex=T.search_tokens)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def text_index(chunks: DataFrame, queries: DataFrame | None = None, tokenizer: str = "regex") -> TextIndex:
+    """Index of (chunk_id, text). Of given queries, an index for them alone, written once: texts are cut into
+    tokens in one pass, in which the queries' terms are counted within each chunk before anything is
+    shuffled; statistics still cover all chunks."""
+    tokens = chunks.select("chunk_id", TOKENIZERS[tokenizer](F.col("text")).alias("tokens"))
+    if queries is None:
+        postings = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
+        terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+        lengths = tokens.select(F.size("tokens").alias("dl"))
+    else:
+        # one row a chunk and wanted term, and one without a term that stands for the chunk itself
+        wanted = bounded(query_terms(queries, tokenizer).select("term").distinct())
+        every = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+        found = every.join(wanted.withColumn("known", F.lit(True)), "term", "left").where(F.col("known") | F.col("term").isNull())
+        rows = stored(found.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+        postings, lengths = rows.where("term IS NOT NULL").select("term", "chunk_id", "tf", "dl"), rows.where("term IS NULL")
+        terms = stored(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    return TextIndex(postings, terms, stats if queries is None else stored(stats, "stats"))
+
+
+def query_terms(queries: DataFrame, tokenizer: str = "regex") -> DataFrame:
     """(query_id, term, qtf): a term counts as often as the query has it."""
-    return queries.select("query_id", F.explode(T.search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return queries.select("query_id", F.explode(TOKENIZERS[tokenizer](F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 @dataclass(frozen=True)
@@ -80,23 +97,12 @@ class BM25:
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, params: BM25 = BM25(), index: TextIndex | None = None) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that shares a term with a query.
-
-    Without an index, tokens are filtered to the queries' terms right after they are exploded, so that only
-    those are shuffled; the statistics still cover all chunks.
-    """
-    wanted = query_terms(queries)
-    if index is None:
-        terms = bounded(wanted.select("term").distinct())
-        tokens = chunks.select("chunk_id", T.search_tokens(F.col("text")).alias("tokens"))
-        stats = tokens.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg(F.size("tokens")), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-        postings = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    else:
-        postings, df, stats = index.postings, index.terms, index.stats
+    """(query_id, chunk_id, score) of every chunk that shares a term with a query; without an index, by one
+    for these queries."""
+    index = index or text_index(chunks, queries)
     # stats is one row
-    rated = wanted.join(df, "term").crossJoin(F.broadcast(stats))
-    rows = postings.join(bounded(rated), "term")
+    rated = query_terms(queries).join(index.terms, "term").crossJoin(F.broadcast(index.stats))
+    rows = index.postings.join(bounded(rated), "term")
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * params.weight()).alias("score"))
 
 
@@ -246,17 +252,17 @@ def overlaps(hits: DataFrame) -> DataFrame:
 
 
 def compare(strategies: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str], str]:
-    """(hits with strategy, errors by strategy, status): strategies fail on their own, and the status is
-    success, partial_error or error."""
+    """(hits with strategy, errors by strategy, status): strategies run here, one after the other, and fail on
+    their own, whether in their plan or while they run; the status is success, partial_error or error."""
     names = [n.strip() for n in strategies]
     if not names or "" in names or len(set(names)) < len(names):
         raise ValueError("strategies need names of their own")
     found, errors = [], {}
     for name, f in zip(names, strategies.values()):
         try:
-            found.append(f().select("query_id", "chunk_id", "score", "rank").withColumn("strategy", F.lit(name)))
-        except (ValueError, KeyError, RuntimeError) as e:
-            errors[name] = str(e)
+            found.append(stored(f().select("query_id", "chunk_id", "score", "rank").withColumn("strategy", F.lit(name)), "strategy"))
+        except Exception as e:  # of any kind: a strategy's fault must not end the others
+            errors[name] = str(e)[:500]
     status = "success" if not errors else "partial_error" if found else "error"
     return (reduce(DataFrame.unionByName, found) if found else None), errors, status
 

@@ -24,6 +24,7 @@ class Scan:
     """What a directory scan passes over."""
 
     recursive: bool = True
+    # What a scan leaves out by default.
     ignored_dirs: tuple[str, ...] = (".git", ".idea", "__pycache__", ".tmp_tests")
     ignored_paths: tuple[str, ...] = ("data/indexes",)
     skip_hidden: bool = True

@@ -1,8 +1,11 @@
-"""Session settings that the engine's plans rely on."""
+"""Session settings that the engine's plans rely on, and tables that several plans share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -10,3 +13,21 @@ def prepared(spark: SparkSession) -> SparkSession:
     coalesced the sides differently; without that they are plain unions."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """`df` computed once and read back by all who use it, from the folder that spark.checkpoint.dir names; the
+    table goes when the driver ends. Only a local session gets a folder of its own where none is named."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="loresift-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    at = f"{folder.rstrip('/')}/loresift/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
