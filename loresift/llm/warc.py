@@ -128,19 +128,24 @@ class _Records:
         self.parts, self.have, self.size, self.head = [], 0, None, bytearray()
 
     def add(self, data: bytes):
-        while data:
-            if self.size is None:
+        at = 0
+        while at < len(data):
+            if self.size is None and self.head:  # a head that began in an earlier piece
                 seen = max(0, len(self.head) - 3)
-                self.head += data
-                end = self.head.find(b"\r\n\r\n", seen)
+                self.head += data[at:]
+                if self.head.find(b"\r\n\r\n", seen) < 0:
+                    return
+                data, at, self.head = bytes(self.head), 0, bytearray()
+            if self.size is None:
+                end = data.find(b"\r\n\r\n", at)
                 if end < 0:
+                    self.head += data[at:]
                     return
-                self.size = end + 4 + _block_size(bytes(self.head[: end + 2])) + 4
-                data, self.head = bytes(self.head), bytearray()
-            take = data[: self.size - self.have]
+                self.size = end + 4 - at + _block_size(data[at : end + 2]) + 4
+            take = data[at : at + self.size - self.have]
             self.parts.append(take)
             self.have += len(take)
-            data = data[len(take) :]  # at most one step of the stream
+            at += len(take)
             if self.have == self.size:
                 yield b"".join(self.parts)
                 self.parts, self.have, self.size = [], 0, None
