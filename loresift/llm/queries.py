@@ -74,9 +74,27 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_docs(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(_docs(spark, sf_dir))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filters import interactions
+
+    return interactions(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_products
+
+    return top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_simhash, op6_fingerprints, op7_gif, op8_language_id, op9_quality, op10_warc)
+    for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_simhash, op6_fingerprints, op7_gif, op8_language_id, op9_quality, op10_warc, op11_source_divergence, op12_filter_interactions, op13_topk_search)
 }
 SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
@@ -121,4 +139,32 @@ m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
 b AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::BIGINT) AS v FROM m)
 SELECT page_id, payload_bytes, array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 32768 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 1024 % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // 32 % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM b""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT lang, source, term, count(*) AS docs, sum(n) AS n FROM (SELECT id, lang, source, term, count(*) AS n FROM (SELECT id, lang, source, unnest(ts) AS term FROM d) GROUP BY ALL) GROUP BY ALL),
+v AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY ALL HAVING sum(docs) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, v.term, coalesce(t.n, 0)::HUGEINT AS n, v.n::HUGEINT AS m FROM g JOIN v ON g.lang = v.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = v.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (m + 5)) // (sum(m) OVER w + 5 * count(*) OVER w)::HUGEINT AS q FROM x WINDOW w AS (PARTITION BY lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 50""",
+    "op12_filter_interactions": r"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY md5(text), length(text)), false)::INT AS bits FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY ALL),
+f AS (SELECT chr(65 + i::INT) AS letter, 1 << i::INT AS bit FROM range(5) r(i)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM f a JOIN f b ON a.bit <> b.bit JOIN f c ON c.bit NOT IN (a.bit, b.bit) JOIN f d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN f e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+s AS (SELECT filter_order, step::INT AS step, f.bit, (SELECT coalesce(sum(g.bit), 0)::INT FROM f g WHERE instr(filter_order, g.letter) < step) AS before FROM o, range(1, 6) r(step) JOIN f ON f.letter = substr(filter_order, step::INT, 1)),
+q AS (SELECT part, filter_order, step, s.bit, sum(CASE WHEN bits & (before + s.bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN bits & before = 0 AND bits & s.bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN bits & before > 0 AND bits & s.bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN bits = s.bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN bits & before = 0 AND bits & s.bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN bits & before = 0 AND bits & s.bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM q""",
+    "op13_topk_search": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
 }
