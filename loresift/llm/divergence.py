@@ -34,7 +34,7 @@ from ._spark import arrow_map, kept, text_bytes
 
 LEAST_DOCS = 30
 TOP = 50
-CELLS = 1 << 18
+CELLS = 1 << 15
 UNIT, PRIOR = 10**9, 5
 _TERM = re.compile(rb"[a-z\x80-\xff]+")  # of lower-cased bytes: other letters are whole in UTF-8
 _LONG, _HELD = 1 << 20, 200_000

@@ -5,6 +5,11 @@ their responses are max-pooled and a softmax layer makes language probabilities;
 over all its windows, weighted by length. On one-hot bytes a filter is a table, so a response is a sum of
 looked-up rows, and tables for pairs of bytes halve the look-ups.
 
+One class more, for what is in no language, is learned from noise that is made up: shuffled and random letters,
+codes, scripts that the sample doesn't use, program text, repeats. Short pieces of windows are learned from too, so
+that short texts are told from noise. What a text's language is does not depend on that class; whether it is in a
+language at all (`fit`) does.
+
 The network is trained in numpy on the driver, on a bounded sample: at most `per_class` labelled documents
 of each language, chosen by a hash of the id, and at most `slices` windows of each. Of documents that share
 an id, one is learned from. Nothing but text and lang is learned from, and nothing but text enters a prediction.
@@ -16,7 +21,6 @@ score 0; an empty table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +37,17 @@ FILTERS = 12
 PER_CLASS = 400
 SLICES = 8
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: The class of windows in no language. It is learned from noise, and never a prediction of `identify`.
+NOISE = ""
+#: A window of noise, and a piece of a window, for so many windows of text.
+NOISE_SHARE, PIECE_SHARE = 2, 3
+#: Windows of noise at least.
+NOISE_LEAST = 3000
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits, numerals such as Ⅷ or ½, and marks are none."""
+    return any(map(str.isalpha, text))
 
 
 def held_out(id_col):
@@ -158,53 +172,122 @@ def training_windows(docs: DataFrame, *, per_class: int = PER_CLASS, slices: int
     x, y = [], []
     for row in found:
         for part in row["cut"]:
-            if _LETTER.search(part):
+            if has_letter(part):
                 x.append(windows(part.encode()[:WINDOW])[0][0])
                 y.append(classes.index(row["lang"]))
     return (np.array(x, dtype=np.uint8).reshape(-1, WINDOW), np.array(y, dtype=np.int64), classes)
 
 
+def _words(r: np.random.Generator, letters: list[str], size: int, low: int = 1, high: int = 12) -> str:
+    out = []
+    while size > 0:
+        n = int(r.integers(low, high))
+        out.append("".join(r.choice(letters, n)))
+        size -= n + 1
+    return " ".join(out)
+
+
+# First code points of the letters of some scripts, with how many follow.
+SCRIPTS = ((0x391, 56), (0x410, 64), (0x561, 38), (0x5D0, 27), (0x627, 36), (0x905, 53), (0x985, 36), (0xB85, 36), (0xE01, 46), (0x10D0, 33), (0x3041, 83), (0x30A1, 83), (0x4E00, 6000), (0xAC00, 11000))
+_KEYWORDS = ("if", "for", "int", "def", "return", "const", "void", "null", "0", "1", "true", "self", "var")
+_SIGNS = (" = ", "(", ");", " + ", "[", "]", " {", "}", ", ", "->", " == ", ":", "\n  ", "//", ".", " && ")
+
+
+def noise(texts: list[str], n: int, seed: int = 1) -> list[str]:
+    """`n` texts in no language, of every kind alike. `texts` are what is not noise: some are shuffled, and
+    scripts that hold over a hundredth of their letters are left out."""
+    r = np.random.default_rng(seed)
+    seen = np.array([ord(c) for t in texts for c in t if c.isalpha()])
+    scripts = [(a, k) for a, k in SCRIPTS if ((seen >= a) & (seen < a + k)).sum() * 100 <= max(1, len(seen))]
+    latin = [chr(c) for c in range(97, 123)]
+    mixed = latin + [c.upper() for c in latin] + [str(d) for d in range(10)]
+
+    def shuffled(size):
+        t = list(texts[r.integers(len(texts))][:size])
+        r.shuffle(t)
+        return "".join(t)
+
+    def script(size):
+        a, k = scripts[r.integers(len(scripts))]
+        return _words(r, [chr(c) for c in r.integers(a, a + k, 200)], size // 2)
+
+    def code(size):
+        names = [_words(r, latin, 5, 1, 8).replace(" ", "_") for _ in range(6)]
+        return "".join(str(r.choice(_KEYWORDS if i % 5 == 0 else names if i % 2 else _SIGNS)) for i in range(size // 3))[:size]
+
+    def repeated(size):
+        unit = "".join(r.choice(mixed, int(r.choice([1, 1, 2, 3])))) + " " * int(r.random() < 0.3)
+        return (unit * size)[:size]
+
+    kinds = [
+        shuffled,
+        *([script] * 2 if scripts else []),
+        code,
+        *[repeated] * 2,
+        lambda size: _words(r, latin, size),
+        lambda size: "".join(r.choice(latin, size)),
+        lambda size: "".join(r.choice([*mixed, "+", "/"], size)),
+        lambda size: _words(r, list("0123456789abcdef"), size, 4, 65),
+        lambda size: "".join(r.choice(list("ACGT") if r.random() < 0.5 else list("acgt"), size)),
+        lambda size: _words(r, mixed + list("#$%&*|@!-_=~"), size),
+    ]
+    return [kinds[i % len(kinds)](int(r.integers(24, WINDOW + 1))) for i in range(n)]
+
+
 def fitted(docs: DataFrame, **options) -> Network | None:
-    """The network trained on the sample of `training_windows`; none if there is nothing to learn from."""
+    """The network trained on the sample of `training_windows`, on pieces of them, and on noise; none if there is
+    nothing to learn from."""
     x, y, classes = training_windows(docs, **options)
-    return train(x, y, classes) if len(x) else None
+    if not len(x):
+        return None
+    r = np.random.default_rng(2)
+    # some windows a second time, cut to pieces as short as a word
+    short = x[::PIECE_SHARE].copy()
+    ends = np.exp(r.uniform(np.log(3), np.log(WINDOW), len(short)))
+    short[np.arange(WINDOW)[None, :] >= ends[:, None]] = 0
+    texts = [row.tobytes().rstrip(b"\0").decode(errors="ignore") for row in x[::PIECE_SHARE]]
+    bad = np.array([windows(t.encode()[:WINDOW])[0][0] for t in noise(texts, max(NOISE_LEAST, len(x) // NOISE_SHARE))])
+    return train(np.concatenate([x, short, bad]), np.concatenate([y, y[::PIECE_SHARE], np.full(len(bad), len(classes))]), [*classes, NOISE])
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred and score, by a network trained on the same table."""
+    """Per row: doc_id, held_out, lang_pred, score and fit, by a network trained on the same table. fit is the part
+    of the text, as far as the network tells, that is in a language."""
     return predicted(docs, fitted(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options), id_col=id_col, text_col=text_col)
 
 
 def predicted(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """As `identify`, by a given network; with `carry`, all columns of `docs` as `row` too."""
+    real = [i for i, c in enumerate(net.classes) if c != NOISE] if net else []
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            lettered = [bool(t and _LETTER.search(t)) for t in texts]
-            said, score = [UND] * len(texts), [1.0] * len(texts)
+            lettered = [bool(t and has_letter(t)) for t in texts]
+            said, score, fit = [UND] * len(texts), [1.0] * len(texts), [0.0] * len(texts)
             at = [i for i, ok in enumerate(lettered) if ok]
             if net is None:
                 score = [0.0 if ok else 1.0 for ok in lettered]
             else:
                 for a in range(0, len(at), 64):
                     part = at[a : a + 64]
-                    p = net.predict([texts[i].encode() for i in part])
-                    for i, c, s in zip(part, p.argmax(axis=1).tolist(), p.max(axis=1).tolist()):
-                        said[i], score[i] = net.classes[c], min(1.0, s)
+                    p = net.predict([texts[i].encode() for i in part])[:, real]
+                    whole = p.sum(axis=1)
+                    p = p / np.maximum(whole, 1e-12)[:, None]
+                    for i, c, s, w in zip(part, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), whole.tolist()):
+                        said[i], score[i], fit[i] = net.classes[real[c]], min(1.0, s), min(1.0, w)
             rest = [b.column(i) for i, n in enumerate(b.schema.names) if n != "text"]
             names = [n for n in b.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())], names=[*names, "lang_pred", "score", "fit"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []), docs[text_col].alias("text"))
-    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double").add("fit", "double")
     return arrow_map(rows, run, schema)
 
 
-def keep_identified(docs: DataFrame, *, odds: float = 1.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of `docs` in a language: not `und`, and with a score of at least `odds` times what a text that
-    says nothing gets, which is one part of as many as there are languages. The default lets short but clean
-    texts stay; it rejects what no language fits."""
+def keep_identified(docs: DataFrame, *, least: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of `docs` in a language: not `und`, and with a fit of at least `least`. The default rejects what is
+    all but surely noise throughout; texts that are short, or clean in part, stay. With nothing to learn from, all rows
+    with a letter stay."""
     net = fitted(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
-    least = odds / len(net.classes) if net and len(net.classes) > 1 else 0.0
-    return predicted(docs, net, id_col=id_col, text_col=text_col, carry=True).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
+    return predicted(docs, net, id_col=id_col, text_col=text_col, carry=True).where((F.col("lang_pred") != UND) & (F.col("fit") >= least)).select("row.*") if net else docs.where(F.col(text_col).rlike(r"\p{L}"))

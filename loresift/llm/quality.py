@@ -215,18 +215,23 @@ class QualityModel:
         likely = dict(zip(patterns.tolist(), self.labels.posterior(votes_of(patterns)).tolist()))
         bad = [p for p, x in likely.items() if x < 0.5]
         named = self.votes.select(F.col("doc_id").alias("id"), "pattern", F.col("pattern").isin(bad).alias("bad"))
-        chosen = sampled(named, "bad", sample // 2, {"pattern": F.col("pattern")}).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "pattern")
+        # an id may be in both, with texts of its own for each
+        chosen = sampled(named, "bad", sample // 2, {"pattern": F.col("pattern")}).select(F.col("id").alias("doc_id"), "pattern")
 
         def count(batches):
             for b in batches:
-                found = [trigrams(t) for t in text_bytes(b.column("text"))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("pattern"), *(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))], names=["doc_id", "pattern", "h", "c"])
+                texts = text_bytes(b.column("text"))
+                own = np.concatenate([pattern_of(votes([t for _, t in part])) for part in chunks(texts)]) if texts else np.zeros(0, dtype=np.int64)
+                at = np.flatnonzero(own == b.column("pattern").to_numpy())  # of texts that share an id, those that cast these votes
+                found = [trigrams(texts[i]) for i in at]
+                rest = [b.column(n).take(pa.array(at)) for n in ("doc_id", "pattern")]
+                yield pa.RecordBatch.from_arrays([*rest, *(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))], names=["doc_id", "pattern", "h", "c"])
 
         # whole texts stay on the executors, only their sparse counts come here
         picked = self.rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "pattern", "text")  # `sample` rows at most
         counts = arrow_map(picked, count, "doc_id long, pattern long, h binary, c binary")
-        one = counts.groupBy("doc_id").agg(F.min(F.struct("h", "c", "pattern")).alias("x"))  # one text an id, however many share it
-        found = sorted((r["doc_id"], r["h"], r["c"], r["pattern"]) for r in one.select("doc_id", "x.*").toArrow().to_pylist())
+        one = counts.groupBy("doc_id", "pattern").agg(F.min(F.struct("h", "c")).alias("x"))  # one text, however many share id and votes
+        found = sorted((r["doc_id"], r["h"], r["c"], r["pattern"]) for r in one.select("doc_id", "pattern", "x.*").toArrow().to_pylist())
         if found:
             counted = [(np.frombuffer(h, dtype=np.uint16), np.frombuffer(c, dtype=np.uint32)) for _, h, c, _ in found]
             self.weights, self.intercept = train_scorer(counted, votes_of(np.array([p for *_, p in found])), np.array([likely[p] for *_, p in found]))

@@ -3,16 +3,17 @@
 `archives` writes pages as WARC 1.1 response and revisit records into archives of bounded size, each one
 gzip stream over the whole file. `normalise` inflates such a stream once, record by record, rewrites every
 record as a gzip member of its own and writes a sidecar index of offsets, so that a record can be read
-without what stands before it. `read_records` reads records back through that index.
+without what stands before it. `read_records` reads records back through that index, `members` cuts out some.
 
-Archives are binary cells of a table (name, content), so Spark's own readers and writers carry them to and
-from any store; `content` is the file byte for byte.
+Archives are binary cells of a table, so Spark's own readers and writers carry them to and from any store.
+`content` is the file byte for byte; a normalised one lies in segments that no member crosses, so that one
+offset takes one segment and never the whole file.
 
 Defined results: a null payload counts as empty; of pages with equal payloads the one with the smallest
 page_id is the response and the others revisit it (pages that share that id too are all responses; a null
 id is larger than any other); payloads below `min_revisit_bytes` are always responses; an empty table
-gives no archive; other columns are not looked at. A record is held whole by one worker, an archive in its
-compressed form.
+gives no archive; other columns are not looked at. A record is held whole by one worker, a monolithic archive in
+its compressed form, a normalised one by segments.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from ._spark import arrow_map, kept
 
 ARCHIVE_BYTES = 8 << 20
+SEGMENT_BYTES = 1 << 20
 LEVEL = 1
 _DATE = "2000-01-01T00:00:00Z"
 INDEX = "array<struct<offset:bigint,length:bigint,record_id:string,type:string>>"
@@ -103,23 +105,32 @@ def _archive(name: str, content: bytes) -> pa.RecordBatch:
 
 def records_of(content: bytes, step: int = 1 << 18):
     """Whole records of a gzip file (any number of members), inflated once as a stream."""
-    reader, z, at = _Records(), zlib.decompressobj(31), 0
-    while at < len(content) or z.unconsumed_tail:
-        if z.eof:
-            rest = z.unused_data
-            z = zlib.decompressobj(31)
-            data = z.decompress(rest + content[at : at + step])
-        else:
-            data = z.decompress(content[at : at + step])
-        at += step
-        while z.eof and z.unused_data and at >= len(content):
-            rest, z = z.unused_data, zlib.decompressobj(31)
-            data += z.decompress(rest)
+    reader = _Records()
+    for data in inflated(content, step):
         yield from reader.add(data)
     if reader.rest().strip():
         raise ValueError("the archive ends within a record")
 
 
+def inflated(content: bytes, step: int = 1 << 18, most: int = 1 << 20):
+    """What a gzip file holds, in pieces of at most `most` bytes. Each member is fed from where the one before it
+    ended, in slices that follow the members' size, so that short members cost no more than they are long. Zeros
+    after the last member are padding."""
+    at, size, view = 0, 1 << 12, memoryview(content)
+    while at < len(content) and (content[at] or content[at:].strip(b"\0")):
+        z, began, take = zlib.decompressobj(31), at, size
+        while not z.eof:
+            part = view[at : at + take]
+            data = z.decompress(part, most)
+            used = len(part) - len(z.unused_data if z.eof else z.unconsumed_tail)
+            if not used and not data and not z.eof:
+                raise ValueError("the archive ends within a member")
+            at, take = at + used, min(2 * take, step)
+            if data:
+                yield data
+        size = min(max(2 * (at - began), 1 << 12), step)
+
+
 class _Records:
     """Cuts a stream into records. Pieces of a record are joined only once it is whole, and a head is
     looked for only where it was not looked for before, so the work is linear in the stream."""
@@ -168,13 +179,15 @@ def header(rec: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def normalise(files: DataFrame, *, level: int = LEVEL) -> DataFrame:
-    """(name, content, index): archives with one gzip member per record, and the sidecar index."""
+def normalise(files: DataFrame, *, level: int = LEVEL, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """(name, at, content, index): archives with one gzip member per record, in segments of whole members: the file
+    is its segments' content in order of `at`, their first byte. index has the segment's records, with offsets in
+    the file."""
 
     def run(batches):
         for b in batches:
             for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
-                out, index, at = [], [], 0
+                out, index, began, at = [], [], 0, 0
                 for rec in records_of(content):
                     z = zlib.compressobj(level, zlib.DEFLATED, 31)
                     member = z.compress(rec) + z.flush()
@@ -182,10 +195,31 @@ def normalise(files: DataFrame, *, level: int = LEVEL) -> DataFrame:
                     index.append({"offset": at, "length": len(member), "record_id": fields["WARC-Record-ID"], "type": fields["WARC-Type"]})
                     out.append(member)
                     at += len(member)
-                kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("type", pa.string())]))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out)], pa.binary()), pa.array([index], kind)], names=["name", "content", "index"])
+                    if at - began >= segment_bytes:
+                        yield _segment(name, began, out, index)
+                        out, index, began = [], [], at
+                if out or not at:
+                    yield _segment(name, began, out, index)
+
+    return arrow_map(files, run, f"name string, at long, content binary, index {INDEX}")
+
+
+def _segment(name: str, at: int, members: list[bytes], index: list[dict]) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("type", pa.string())]))
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([b"".join(members)], pa.binary()), pa.array([index], kind)], names=["name", "at", "content", "index"])
+
+
+def sidecar(files: DataFrame) -> DataFrame:
+    """(name, at, offset, length, record_id, type): the offset index of normalised archives, a row a record. `at` is
+    the segment that holds it. Of a stored table this reads no content."""
+    return files.select("name", "at", F.explode("index").alias("e")).select("name", "at", "e.*")
+
 
-    return arrow_map(files, run, f"name string, content binary, index {INDEX}")
+def members(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, offset, member): the gzip members of some rows of the sidecar, cut out of the one segment that holds
+    each of them."""
+    cut = F.substring("content", (F.col("offset") - F.col("at") + 1).cast("int"), F.col("length").cast("int"))
+    return wanted.select("name", "at", "offset", "length").join(files.select("name", "at", "content"), ["name", "at"]).select("name", "offset", cut.alias("member"))
 
 
 def read_records(files: DataFrame) -> DataFrame:
@@ -195,10 +229,11 @@ def read_records(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for name, content, index in zip(*(b.column(c).to_pylist() for c in ("name", "content", "index"))):
+            for name, start, content, index in zip(*(b.column(c).to_pylist() for c in ("name", "at", "content", "index"))):
                 cols = [[] for _ in range(7)]
                 for e in index:
-                    fields, block = header(zlib.decompress(content[e["offset"] : e["offset"] + e["length"]], 31))
+                    at = e["offset"] - start
+                    fields, block = header(zlib.decompress(content[at : at + e["length"]], 31))
                     http, _, payload = block.partition(b"\r\n\r\n")
                     if fields["WARC-Type"] == "response":
                         size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()

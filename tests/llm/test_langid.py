@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from loresift.llm.langid import FILTERS, WIDTHS, WINDOW, Network, identify, keep_identified, train, training_windows, windows
+from loresift.llm.langid import FILTERS, NOISE, WIDTHS, WINDOW, Network, fitted, has_letter, identify, keep_identified, noise, predicted, train, training_windows, windows
 
 
 def test_pooling_equals_a_plain_convolution():
@@ -70,3 +70,70 @@ def test_no_task_ranks_a_whole_label(spark):
     got = sampled(own, "lang", 100, {"text": F.col("text")})
     want = [r["id"] for r in own.orderBy(F.xxhash64("id"), "id").limit(100).collect()]
     assert sorted(r["id"] for r in got.collect()) == sorted(want)
+
+
+def test_letters_are_letters(spark):
+    """Digits and numerals of any script are none, and texts of them are in no language."""
+    for t in ("² ½", "Ⅷ Ⅸ", "①②", "123 !?", "٣٤", "_", "", "\u0301"):
+        assert not has_letter(t)
+    for t in ("1a", "é", "ß²", "字", "\u02b0"):
+        assert has_letter(t)
+    rows = [(i, "bada gada dada" if i % 2 else "stryx plyf krywn", "x" if i % 2 else "y") for i in range(60)]
+    odd = ["² ½", "Ⅷ Ⅸ", "①②", "٣٤", "\u0301"]
+    df = spark.createDataFrame(rows + [(100 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["lang_pred"] for x in identify(df).collect()}
+    assert {got[100 + i] for i in range(len(odd))} == {"und"} and set(got.values()) == {"x", "y", "und"}
+
+
+def plain_prediction(net, text):
+    """Mean over windows, by loops."""
+    data, total = text.encode(), np.zeros(len(net.classes))
+    for a in range(0, max(1, len(data)), WINDOW):
+        part = data[a : a + WINDOW]
+        x = list(part) + [0] * (WINDOW - len(part))
+        h = np.concatenate([[max(sum(t[j, x[i + j], f] for j in range(w)) for i in range(WINDOW - w + 1)) for f in range(FILTERS)] for w, t in net.tables.items()])
+        z = np.maximum(h + net.bias, 0) @ net.out + net.out_bias
+        e = np.exp(z - z.max())
+        total += e / e.sum() * len(part)
+    p = total / total.sum()
+    real = [i for i, c in enumerate(net.classes) if c != NOISE]
+    best = max(real, key=lambda i: p[i])
+    return net.classes[best], p[best] / p[real].sum(), p[real].sum()
+
+
+def test_whole_texts_against_loops(spark):
+    r = np.random.default_rng(7)
+    size = FILTERS * len(WIDTHS)
+    net = Network(["aa", "bb", NOISE], {w: r.standard_normal((w, 256, FILTERS)).astype(np.float32) for w in WIDTHS}, r.standard_normal(size).astype(np.float32), r.standard_normal((size, 3)).astype(np.float32), np.zeros(3, dtype=np.float32))
+    texts = ["a", "über " * 60, "x" * WINDOW, "tail decides " * 50 + "ÿÿÿ" * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in predicted(df, net).collect():
+        lang, score, fit = plain_prediction(net, texts[x["doc_id"]])
+        assert x["lang_pred"] == lang and abs(x["score"] - score) < 1e-4 and abs(x["fit"] - fit) < 1e-4
+
+
+def test_what_is_in_no_language_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = fitted(docs)
+    x, _, _ = training_windows(docs)
+    texts = [t for t in noise([row.tobytes().rstrip(b"\0").decode(errors="ignore") for row in x[:500]], 600, seed=99) if len(t) >= 100]
+    bad = ["0f3a9c" * 90 + "deadbeef77" * 20, "Zm9vYmFy8sQ+/xT1kLp0" * 20, "สวัสดีครับ ผมชื่อสมชาย " * 9, "مرحبا بكم في موقعنا " * 9, "Привет, как дела? Сегодня хорошая погода. " * 6]
+    good = ["The cat sat on the mat.", "Le chat est sur la table.", "El perro come en la casa.", "The", "It was the best of times, it was the worst of times. " * 5]
+    df = spark.createDataFrame(list(enumerate(texts + bad + good)), "doc_id long, text string")
+    fit = {r["doc_id"]: r["fit"] for r in predicted(df, net).collect()}
+    n = len(texts)
+    assert np.mean([fit[i] < 0.1 for i in range(n)]) > 0.9
+    assert all(fit[n + i] < 0.1 for i in range(len(bad))), [fit[n + i] for i in range(len(bad))]
+    assert all(fit[n + len(bad) + i] >= 0.1 for i in range(len(good)))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
+    ours = docs.join(labels, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    planted = spark.createDataFrame([(-1 - i, t, None, "s", 0) for i, t in enumerate(bad)], ours.schema)
+    kept_ids = {r["doc_id"] for r in keep_identified(docs.unionByName(planted)).select("doc_id").collect()}
+    clean = {r["doc_id"] for r in ours.collect()}
+    assert not kept_ids & set(range(-len(bad), 0)) and len(clean & kept_ids) >= 0.995 * len(clean)
+
+
+def test_noise_leaves_out_scripts_that_are_used():
+    russian = ["Привет как дела сегодня хорошая погода"] * 20
+    assert not any(0x410 <= ord(c) < 0x450 and " " in t for t in noise(russian, 300)[1::12] for c in t)
+    assert any(0x410 <= ord(c) < 0x450 for t in noise(["plain text"], 600) for c in t)

@@ -82,3 +82,15 @@ def test_scores_equal_a_plain_scorer(spark):
         want = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if t.strip() else 0.0
         assert abs(got[i]["quality"] - want) < 1e-9 and got[i]["keep"] == (want >= 0.5)
         assert abs(got[i]["label"] - model.labels.posterior(v)[0]) < 1e-12
+
+
+def test_labels_go_with_their_own_text(spark):
+    """The same texts under ids of their own, and each id used for a good and a bad one."""
+    good = [f"Some words of a plain text number {i} that go on for a while, and then it ends as it began." for i in range(300)]
+    bad = [f"BUY%%% B### &&&C{i} $$$ ***" * 5 for i in range(300)]
+    for ids in (list(range(600)), [*range(300), *range(300)]):
+        df = spark.createDataFrame(list(zip(ids, good + bad)), "doc_id long, text string")
+        kept = [(x["keep"], x["votes"]) for x in QualityModel(df, sample=200).scores().collect()]
+        spam = {"".join("-0+"[x + 1] for x in v) for v in votes([t.encode() for t in bad]).tolist()}
+        assert len(kept) == 600
+        assert np.mean([k for k, v in kept if v in spam]) < 0.02 and np.mean([k for k, v in kept if v not in spam]) > 0.98
