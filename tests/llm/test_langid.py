@@ -1,3 +1,5 @@
+import base64
+import hashlib
 import zlib
 
 import numpy as np
@@ -117,7 +119,7 @@ def test_what_is_in_no_language_goes(spark):
     net = fitted(docs)
     x, _, _ = training_windows(docs)
     texts = [t for t in noise([row.tobytes().rstrip(b"\0").decode(errors="ignore") for row in x[:500]], 600, seed=99) if len(t) >= 100]
-    bad = ["0f3a9c" * 90 + "deadbeef77" * 20, "Zm9vYmFy8sQ+/xT1kLp0" * 20, "สวัสดีครับ ผมชื่อสมชาย " * 9, "مرحبا بكم في موقعنا " * 9, "Привет, как дела? Сегодня хорошая погода. " * 6]
+    bad = ["".join(hashlib.sha256(b"%d" % i).hexdigest() for i in range(12)), base64.b64encode(b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(20))).decode(), "สวัสดีครับ ผมชื่อสมชาย " * 9, "مرحبا بكم في موقعنا " * 9, "Привет, как дела? Сегодня хорошая погода. " * 6]
     good = ["The cat sat on the mat.", "Le chat est sur la table.", "El perro come en la casa.", "The", "It was the best of times, it was the worst of times. " * 5]
     df = spark.createDataFrame(list(enumerate(texts + bad + good)), "doc_id long, text string")
     fit = {r["doc_id"]: r["fit"] for r in predicted(df, net).collect()}
