@@ -13,6 +13,7 @@ from .operators import reports
 from .operators.retrieve import ResultStages
 from .settings import Settings
 from .sources import gold
+from .sources.session import Tables, stored
 
 
 def parser() -> argparse.ArgumentParser:
@@ -42,14 +43,20 @@ def main(args: list[str] | None = None) -> int:
             print(f"{m.index_id} {m.status}: " + ", ".join(f"{v} {k}" for k, v in m.counts.items()))
         elif a.command == "search":
             stages = ResultStages(a.top_k or engine.settings.results.top_k, engine.settings.results.reranking)
-            for r in engine.search(one(a.query), a.retriever, stages).orderBy("rank").collect():
-                print(f"{r['rank']}. {r['score']} {r['source_path']} [{r['chunk_id']}]\n   {r['text'][:160]}")
+            with Tables():
+                for r in engine.search(one(a.query), a.retriever, stages).orderBy("rank").collect():
+                    print(f"{r['rank']}. {r['score']} {r['source_path']} [{r['chunk_id']}]\n   {r['text'][:160]}")
+            if engine.settings.reports.path:
+                engine.search_report(one(a.query), a.retriever, stages)
         elif a.command == "ask":
-            r = engine.ask(one(a.question)).answers.head()
+            with engine.ask(one(a.question)) as answered:
+                r = answered.answers.head()
             print(f"{r['status']}: {r['answer'] or r['abstention_reason']}")
         else:
-            metrics = engine.evaluate(gold.load(spark, a.dataset)).cache()
-            print(reports.write_evaluation(metrics, V.summary(metrics), a.output))
+            run = engine.run_info(a.dataset)
+            with Tables():
+                metrics = stored(engine.evaluate(gold.load(spark, a.dataset)), "evaluation")
+                print(reports.write_evaluation(metrics, V.summary(metrics), a.output, run))
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1

@@ -198,6 +198,7 @@ class Packed:
     segments: DataFrame
     citations: DataFrame
     dropped: DataFrame
+    estimator: str = "regex"
 
     def texts(self, queries: DataFrame) -> DataFrame:
         """(query_id, context_text, used_tokens, available_tokens, remaining_tokens, estimator)."""
@@ -206,7 +207,7 @@ class Packed:
             F.array_join(F.transform(parts, lambda p: F.concat(F.lit("["), p["citation_id"], F.lit("] "), p["text"])), "\n\n").alias("context_text"), F.max("used_tokens").alias("used_tokens"), F.max("available_tokens").alias("available_tokens")
         )
         zero = F.lit(0)
-        return queries.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce("context_text", F.lit("")).alias("context_text"), F.coalesce("used_tokens", zero).alias("used_tokens"), "available_tokens", (F.col("available_tokens") - F.coalesce("used_tokens", zero)).alias("remaining_tokens"), F.lit("regex").alias("estimator"))
+        return queries.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce("context_text", F.lit("")).alias("context_text"), F.coalesce("used_tokens", zero).alias("used_tokens"), "available_tokens", (F.col("available_tokens") - F.coalesce("used_tokens", zero)).alias("remaining_tokens"), F.lit(self.estimator).alias("estimator"))
 
 
 def assemble(hits: DataFrame, queries: DataFrame, budget: Budget = Budget(), strategy: str = "passthrough") -> Packed:
@@ -214,4 +215,4 @@ def assemble(hits: DataFrame, queries: DataFrame, budget: Budget = Budget(), str
     evidence, _ = transform_evidence(hits, strategy)
     kept, dropped = select_evidence(evidence, budget.per_document)
     segments, over = pack(merge_adjacent(kept) if budget.merge_adjacent else single(kept), queries, budget)
-    return Packed(segments, citations(segments), dropped.withColumn("chunk_id", F.col("chunk_id").cast("string")).unionByName(over))
+    return Packed(segments, citations(segments), dropped.withColumn("chunk_id", F.col("chunk_id").cast("string")).unionByName(over), budget.estimator)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import FAILURE
 from ..functions import text as T
 
 METRICS = (
@@ -52,7 +53,10 @@ def case_metrics(cases: DataFrame, hits: DataFrame, context: DataFrame, cited: D
     none = F.array().cast("array<string>")
     for frame, order, name in ((hits, "rank", "got"), (context, "pos", "used"), (cited, "n", "cited")):
         rows = rows.join(_gathered(expectations(cases), frame, order, name), "query_id", "left").withColumn(name, F.coalesce(name, none))
-    rows = rows.join(answered.select("query_id", "status"), "query_id", "left")
+    why = F.col("fault") if "fault" in answered.columns else F.lit(None).cast("string")
+    rows = rows.join(answered.select("query_id", "status", why.alias("fault")), "query_id", "left")
+    fault = F.coalesce("fault", F.lit("GENERATION_FAILED: no answer"))
+    code = F.substring_index(fault, ":", 1)
     expected, got = F.col("expected"), F.col("got")
     n = F.size(expected)
     common = lambda c: F.size(F.array_intersect(F.array_distinct(c), expected))
@@ -73,9 +77,24 @@ def case_metrics(cases: DataFrame, hits: DataFrame, context: DataFrame, cited: D
         F.when(talks, (F.size("cited") > 0).cast("double")).alias("answer_has_citation_ratio"),
         (F.when(F.col("expected_abstention"), ~talks).otherwise(talks)).cast("double").alias("abstention_accuracy"),
         F.when(F.col("status") == "failed", F.lit("error")).otherwise(F.lit("success")).alias("status"),
+        F.when(F.col("status") == "failed", F.struct(F.lower(code).alias("failure_type"), code.alias("error_code"), fault.alias("message"))).cast(FAILURE).alias("failure"),
     )
 
 
+def failed_cases(cases: DataFrame, failure: Column) -> DataFrame:
+    """Rows of `case_metrics` for cases that could not be answered: no metric, and why."""
+    none = F.lit(None).cast("double")
+    return cases.select("query_id", "question_type", *[none.alias(m) for m in METRICS], F.lit("error").alias("status"), failure.cast(FAILURE).alias("failure"))
+
+
+def isolated(metrics: DataFrame, cases: DataFrame, faults: DataFrame | None) -> DataFrame:
+    """Case metrics in which the cases with faults (query_id, failure) fail, each on its own."""
+    if faults is None:
+        return metrics
+    bad = failed_cases(cases.join(faults, "query_id"), F.col("failure"))
+    return metrics.join(faults.select("query_id"), "query_id", "left_anti").unionByName(bad)
+
+
 def summary(metrics: DataFrame) -> DataFrame:
     """Mean of every metric over the cases that succeeded, nulls left out: overall (question_type null) and
     by question type, with the number of values."""
@@ -94,6 +113,11 @@ def suite(experiments: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, [f().withColumn("experiment", F.lit(n)) for n, f in experiments.items()])
 
 
+def failure_counts(metrics: DataFrame) -> DataFrame:
+    """(failure_type, n) of the cases that failed."""
+    return metrics.where("status <> 'success'").groupBy(F.col("failure.failure_type").alias("failure_type")).agg(F.count("*").alias("n"))
+
+
 def with_review(metrics: DataFrame) -> DataFrame:
     """Case metrics with an empty `review`, to be filled by people or a later judge, apart from what is
     measured."""

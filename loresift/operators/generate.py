@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..registry import Registry
+from .context import Packed
 
 # Fixed value: how a citation stands in an answer.
 INLINE = r"\[([A-Za-z][A-Za-z0-9_-]*)\]"
@@ -84,7 +87,35 @@ def http_payloads(prompt_rows: DataFrame, url: str, model: str, key: Callable[[]
     return prompt_rows.select("query_id", "system_prompt", "user_prompt").mapInPandas(run, f"query_id {dict(prompt_rows.dtypes)['query_id']}, payload string, error string")
 
 
-LLM_CLIENTS: Registry = Registry("model client", mock=mock_payloads, openai_compatible=http_payloads)
+@dataclass(frozen=True)
+class Endpoint:
+    """Where a model answers, and how much it takes. The key is read from `key_variable` by executors."""
+
+    url: str = "http://localhost:8000/v1/chat/completions"
+    model: str = "local"
+    key_variable: str = "LLM_API_KEY"
+    retries: int = 1
+    timeout: float = 30.0
+    window: int = 4096
+    output: int = 512
+    margin: int = 64
+
+
+def endpoint_payloads(asked: DataFrame, packed: Packed, endpoint: Endpoint = Endpoint(), language: str = "English") -> DataFrame:
+    """Model output for packed contexts from an endpoint. Questions without evidence are not asked, prompts that
+    leave the model's window are a fault of their own."""
+    rows = within_window(prompts(asked, packed.texts(asked), packed.citations, language), endpoint.window, endpoint.output, endpoint.margin)
+    some = packed.citations.select("query_id").distinct()
+    rows = rows.join(some, "query_id", "left_semi")
+    variable = endpoint.key_variable
+    said = http_payloads(rows.where("fits"), endpoint.url, endpoint.model, lambda: os.environ.get(variable, ""), endpoint.retries, endpoint.timeout)
+    long = rows.where("NOT fits").select("query_id", F.lit(None).cast("string").alias("payload"), F.concat(F.lit("GENERATION_FAILED: the prompt takes "), F.col("prompt_tokens"), F.lit(" tokens, more than the window leaves")).alias("error"))
+    none = asked.join(some, "query_id", "left_anti").select("query_id", F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("error"))
+    return said.unionByName(long).unionByName(none)
+
+
+#: Model clients by name: questions, packed contexts, endpoint and language to (query_id, payload, and maybe error).
+LLM_CLIENTS: Registry = Registry("model client", mock=lambda asked, packed, endpoint, language: mock_payloads(asked, packed.citations), openai_compatible=endpoint_payloads)
 
 
 def inline_ids(answer: Column) -> Column:
@@ -111,13 +142,15 @@ def answers(payloads: DataFrame, citations: DataFrame, invalid: str = "fail_clos
         .when(~abstained & (F.size("ids") == 0), "an answer without a citation")
         .when(~abstained & (F.array_sort("ids") != F.array_sort("inline")), "the citations declared are not those in the answer")
     )
+    if "error" in payloads.columns:  # the model itself failed
+        fault = F.when((F.size("allowed") > 0) & F.col("error").isNotNull(), F.col("error")).otherwise(fault)
     rows = rows.withColumn("fault", fault)
     no_evidence = F.size("allowed") == 0
     bad = F.col("fault").isNotNull()
     status = F.when(no_evidence, "abstained").when(bad, "abstained" if invalid == "abstain" else "failed").when(abstained, "abstained").otherwise("answered")
     answered = status == "answered"
     reason = F.when(no_evidence, "no evidence was retrieved").when(bad, F.col("fault")).when(abstained, F.col("p.abstention_reason"))
-    return rows.select("query_id", status.alias("status"), F.when(~bad & ~no_evidence, F.col("p.answer")).alias("answer"), F.when(answered, F.col("ids")).otherwise(F.array().cast("array<string>")).alias("citation_ids"), reason.alias("abstention_reason"), F.when(bad, F.concat(F.lit("CITATION_VALIDATION_FAILED: "), "fault")).alias("fault"))
+    return rows.select("query_id", status.alias("status"), F.when(~bad & ~no_evidence, F.col("p.answer")).alias("answer"), F.when(answered, F.col("ids")).otherwise(F.array().cast("array<string>")).alias("citation_ids"), reason.alias("abstention_reason"), F.when(bad & F.col("fault").startswith("GENERATION_FAILED: "), F.col("fault")).when(bad, F.concat(F.lit("CITATION_VALIDATION_FAILED: "), "fault")).alias("fault"))
 
 
 def answer_citations(checked: DataFrame, citations: DataFrame) -> DataFrame:

@@ -1,32 +1,35 @@
 """Persistent indexes: building, manifests, integrity, loading.
 
-An index is a folder of Parquet tables (documents, blocks, chunks, vectors, postings, terms, stats, failures)
-and a manifest. Tables are written to a folder of their own per build; the manifest names it and is written
-last, so a reader sees a whole index or the one before.
+An index is a folder of tables (documents, blocks, chunks, vectors, postings, terms, stats, failures) and a
+manifest. Tables are written to a folder of their own per build; the manifest names it and is written last, so a
+reader sees a whole index or the one before. Documents, chunks and vectors lie in stores chosen by name, the
+others are Parquet. What a build counts is observed by the jobs that write its tables.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources import files
+from ..sources.session import rows_seen
+from ..sources.stores import REPOSITORIES, JsonManifest, StoreError
 from . import chunk as C
+from . import clean as CL
 from . import embed as E
 from . import parse as P
 from . import retrieve as R
 
-SCHEMA_VERSION = 4
-
-
-class StoreError(ValueError):
-    """An index that can't be built or used; the code comes first in the message."""
+SCHEMA_VERSION = 5
+DEFAULT_STORES = {"documents": "parquet", "chunks": "parquet", "vectors": "parquet"}
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,7 @@ class Definition:
     model: str = E.MODEL
     dimension: int = E.DIMENSION
     metric: str = "cosine"
+    tokenizer: str = "regex"
 
     def hash(self) -> str:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, ensure_ascii=False).encode()).hexdigest()
@@ -57,6 +61,8 @@ class Manifest:
     tables: str = ""
     error: str | None = None
     schema_version: int = SCHEMA_VERSION
+    stores: dict[str, str] = field(default_factory=lambda: dict(DEFAULT_STORES))
+    stages: list[dict] = field(default_factory=list)
 
     @property
     def index_id(self) -> str:
@@ -64,36 +70,26 @@ class Manifest:
 
     def write(self, spark: SparkSession, path: str) -> None:
         """Write beside the manifest and rename over it."""
-        body = json.dumps(asdict(self) | {"index_id": self.index_id, "definition_hash": self.definition.hash()}, ensure_ascii=False, sort_keys=True, indent=1)
-        fs, at = _fs(spark, f"{path}/manifest.json")
-        new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/.manifest-{uuid.uuid4().hex}")
-        out = fs.create(new, True)
-        out.write(bytearray(body.encode()))
-        out.close()
-        fs.delete(at, False)
-        fs.rename(new, at)
+        JsonManifest.write(spark, path, "manifest.json", self.as_dict())
+
+    def as_dict(self) -> dict:
+        return asdict(self) | {"index_id": self.index_id, "definition_hash": self.definition.hash()}
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Manifest:
-        fs, at = _fs(spark, f"{path}/manifest.json")
-        if not fs.exists(at):
+        d = JsonManifest.read(spark, path, "manifest.json")
+        if d is None:
             raise StoreError(f"INDEX_NOT_FOUND: no manifest in {path}")
-        d = json.loads("\n".join(r["value"] for r in spark.read.text(f"{path}/manifest.json", wholetext=True).collect()))
         if d.get("schema_version") != SCHEMA_VERSION:
             raise StoreError(f"INDEX_INCOMPATIBLE: schema version {d.get('schema_version')}")
         try:
-            if not isinstance(d["counts"], dict) or not isinstance(d["definition"], dict):
+            if not isinstance(d["counts"], dict) or not isinstance(d["definition"], dict) or not isinstance(d["stores"], dict):
                 raise TypeError("a mapping is of another type")
-            return cls(Definition(**d["definition"]), d["document_set_hash"], d["status"], d["counts"], d["tables"], d["error"], d["schema_version"])
+            return cls(Definition(**d["definition"]), d["document_set_hash"], d["status"], d["counts"], d["tables"], d["error"], d["schema_version"], d["stores"], d["stages"])
         except (KeyError, TypeError) as e:
             raise StoreError(f"INVALID_CONFIG: {e}") from e
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def document_set_hash(docs: DataFrame) -> str:
     """A hash of the set of (doc_id, version_id) that does not gather it: XOR and sum of row hashes, with
     the count."""
@@ -102,36 +98,65 @@ def document_set_hash(docs: DataFrame) -> str:
     return hashlib.sha256("|".join(str(x) for x in row).encode()).hexdigest()
 
 
-TABLES = ("documents", "blocks", "chunks", "vectors", "failures")
+class _Build:
+    """Writes the tables of a build; each job counts what it writes, and is a stage of the trace."""
+
+    def __init__(self, spark: SparkSession, manifest: Manifest):
+        self.spark, self.manifest = spark, manifest
 
+    def put(self, name: str, df: DataFrame, **counts) -> tuple[DataFrame, dict[str, int]]:
+        """Write a table; the table as it is stored, and the rows and `counts` that the job saw."""
+        seen, at, began = Observation(), f"{self.manifest.tables}/{name}", time.perf_counter()
+        store = REPOSITORIES[name][self.manifest.stores[name]] if name in self.manifest.stores else REPOSITORIES["documents"]["parquet"]
+        try:
+            store.write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in counts.items()]), at)
+        except Exception as e:
+            self.manifest.stages.append({"stage": name, "status": "error", "latency_ms": _ms(began), "error": str(e)[:300]})
+            raise
+        found = {"rows": rows_seen(seen), **{k: seen.get.get(k, 0) for k in counts}}
+        self.manifest.stages.append({"stage": name, "status": "success", "latency_ms": _ms(began), **found})
+        return store.read(self.spark, at), found
+
+
+def _ms(began: float) -> float:
+    return round((time.perf_counter() - began) * 1000, 2)
 
-def build(spark: SparkSession, source_dir: str, path: str, definition: Definition | None = None, *, skip_existing: bool = True, fail_on_blank: bool = True, scan: files.Scan = files.Scan()) -> Manifest:
+
+def build(spark: SparkSession, source_dir: str, path: str, definition: Definition | None = None, *, skip_existing: bool = True, fail_on_blank: bool = True, scan: files.Scan = files.Scan(), pages: CL.PageCleaning = CL.PageCleaning(), stores: dict[str, str] | None = None) -> Manifest:
     """Load, parse, chunk and embed a directory into an index. Vectors of an earlier build of the same
     definition are kept; texts embedded before come from its cache. On error the manifest says failed."""
     definition = definition or Definition(source_dir)
+    stores = DEFAULT_STORES | (stores or {})
+    for name, kind in stores.items():
+        _ = REPOSITORIES[name][kind]
     raw, bad = files.load(spark, source_dir, scan)
-    docs, blocks, worse = P.parse(raw)
-    manifest = Manifest(definition, "", tables=f"{path}/build-{uuid.uuid4().hex}")
-    at = manifest.tables
+    docs, blocks, worse = P.parse(raw, pages)
+    manifest = Manifest(definition, "", tables=f"{path}/build-{uuid.uuid4().hex}", stores=stores)
+    work = _Build(spark, manifest)
     try:
         before = Manifest.read(spark, path)
     except StoreError:
         before = None
     try:
-        docs.write.parquet(f"{at}/documents")
-        blocks.write.parquet(f"{at}/blocks")
-        bad.unionByName(worse).write.parquet(f"{at}/failures")
-        docs, blocks = spark.read.parquet(f"{at}/documents"), spark.read.parquet(f"{at}/blocks")
+        failures, failed = work.put("failures", bad.unionByName(worse))
+        if scan.fail_fast and failed["rows"]:
+            first = failures.orderBy("source_path").head()
+            raise files.SourceError(f"{first['error_code']}: {first['source_path']}: {first['error_message']}")
+        docs, documents = work.put("documents", docs)
+        blocks, _ = work.put("blocks", blocks)
         manifest.document_set_hash = document_set_hash(docs)
         manifest.write(spark, path)
         chunks = C.CHUNKERS[definition.chunker](docs, C.Chunking(definition.chunk_size, definition.chunk_overlap), blocks)
-        E.without_blank(chunks, fail_on_blank).write.parquet(f"{at}/chunks")
-        chunks = spark.read.parquet(f"{at}/chunks")
-        vectors, counted = _vectors(spark, chunks, before, definition, skip_existing)
-        vectors.write.parquet(f"{at}/vectors")
-        vectors = spark.read.parquet(f"{at}/vectors")
-        R.text_index(chunks).write(at)
-        manifest.counts = {"documents": docs.count(), "chunks": chunks.count(), "vectors": vectors.count(), "failures": spark.read.parquet(f"{at}/failures").count(), **counted(vectors)}
+        empty = Observation()
+        chunks = chunks.observe(empty, F.count_if(T.is_blank(F.col("text"))).alias("blank"))
+        chunks, cut = work.put("chunks", E.without_blank(chunks, fail_on_blank))
+        vectors = _vectors(spark, chunks, before, definition, skip_existing)
+        origins = {k: F.count_if(F.col("origin") == k) for k in ("skipped", "cache_hit", "cache_miss")}
+        vectors, made = work.put("vectors", vectors, **origins)
+        began = time.perf_counter()
+        R.text_index(chunks, tokenizer=definition.tokenizer).write(manifest.tables)
+        manifest.stages.append({"stage": "postings", "status": "success", "latency_ms": _ms(began)})
+        manifest.counts = {"documents": documents["rows"], "chunks": cut["rows"], "vectors": made["rows"], "failures": failed["rows"], **{k: made[k] for k in origins}, "blank_chunks": empty.get.get("blank", 0)}
         check(Index(spark, manifest))
         manifest.status = "ready"
         manifest.write(spark, path)
@@ -143,11 +168,11 @@ def build(spark: SparkSession, source_dir: str, path: str, definition: Definitio
 
 
 def _vectors(spark, chunks, before, definition, skip_existing):
-    """Vectors of all chunks, and how to count where they came from."""
+    """Vectors of all chunks, with where they came from as `origin`."""
     rows = chunks.select("chunk_id", "doc_id", "version_id", "source_path", "title", "section", "text")
     schema = "provider string, model_name string, dimension int, text_hash string, vector array<double>"
     same = before is not None and before.status == "ready" and (before.definition.provider, before.definition.model, before.definition.dimension) == (definition.provider, definition.model, definition.dimension)
-    old = spark.read.parquet(f"{before.tables}/vectors") if same else None
+    old = Index(spark, before).table("vectors") if same else None
     cache = old.select("provider", "model_name", "dimension", "text_hash", "vector") if same else spark.createDataFrame([], schema)
     kept = None
     if same and skip_existing:
@@ -157,13 +182,7 @@ def _vectors(spark, chunks, before, definition, skip_existing):
     made = E.with_cache(rows, cache, definition.provider, definition.model, definition.dimension)
     made = made.withColumn("origin", F.when(F.col("cache_hit"), "cache_hit").otherwise("cache_miss")).drop("cache_hit")
     out = made if kept is None else made.unionByName(kept)
-    out = out.drop("text").withColumns({"provider": F.lit(definition.provider), "model_name": F.lit(definition.model), "dimension": F.lit(definition.dimension)})
-
-    def counted(vectors):
-        found = {r["origin"]: r["count"] for r in vectors.groupBy("origin").count().collect()}
-        return {k: found.get(k, 0) for k in ("skipped", "cache_hit", "cache_miss")}
-
-    return out, counted
+    return out.drop("text").withColumns({"provider": F.lit(definition.provider), "model_name": F.lit(definition.model), "dimension": F.lit(definition.dimension)})
 
 
 @dataclass
@@ -174,11 +193,28 @@ class Index:
     manifest: Manifest
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.manifest.tables}/{name}")
+        store = REPOSITORIES[name][self.manifest.stores[name]] if name in self.manifest.stores else REPOSITORIES["documents"]["parquet"]
+        return store.read(self.spark, f"{self.manifest.tables}/{name}")
 
-    def corpus(self) -> R.Corpus:
+    def corpus(self, params: R.BM25 = R.BM25(), fusion: R.Fusion = R.Fusion(), tokenizer: str | None = None) -> R.Corpus:
+        """What retrievers search. Of another tokenizer than the index's, postings are made for the questions."""
         d = self.manifest.definition
-        return R.Corpus(self.table("chunks"), self.table("vectors"), R.TextIndex.read(self.spark, self.manifest.tables), {"provider": d.provider, "model": d.model, "dimension": d.dimension})
+        tokenizer = tokenizer or d.tokenizer
+        postings = R.TextIndex.read(self.spark, self.manifest.tables) if tokenizer == d.tokenizer else None
+        return R.Corpus(self.table("chunks"), self.table("vectors"), postings, {"provider": d.provider, "model": d.model, "dimension": d.dimension}, params, fusion, tokenizer)
+
+
+def copied(index: Index, path: str, stores: dict[str, str]) -> Manifest:
+    """The same index in another folder, its documents, chunks and vectors in other stores."""
+    old = index.manifest
+    new = Manifest(old.definition, old.document_set_hash, "building", dict(old.counts), f"{path}/build-{uuid.uuid4().hex}", stores=old.stores | stores)
+    work = _Build(index.spark, new)
+    for name in (*DEFAULT_STORES, "blocks", "failures", "postings", "terms", "stats"):
+        work.put(name, index.table(name))
+    check(Index(index.spark, new))
+    new.status = old.status
+    new.write(index.spark, path)
+    return new
 
 
 def faults(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:

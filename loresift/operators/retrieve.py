@@ -12,13 +12,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..errors import Faults, failure, guarded
 from ..functions import text as T
 from ..registry import Registry
-from ..sources.session import stored
-from .embed import DIMENSION, EMBEDDERS, MODEL
+from ..sources.session import counted, rows_seen, stored
+from .embed import DIMENSION, EMBEDDERS, MODEL, valid_vector
 
 #: A side is sent to every executor only up to so many rows; beyond it joins are left to Spark.
 BROADCAST_ROWS = 10_000
@@ -62,18 +63,25 @@ def text_index(chunks: DataFrame, queries: DataFrame | None = None, tokenizer: s
     tokens in one pass, in which the queries' terms are counted within each chunk before anything is
     shuffled; statistics still cover all chunks."""
     tokens = chunks.select("chunk_id", TOKENIZERS[tokenizer](F.col("text")).alias("tokens"))
+    wanted = None if queries is None else query_terms(queries, tokenizer).select("term").distinct()
     if queries is None:
         postings = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
         terms = postings.groupBy("term").agg(F.count("*").alias("df"))
         lengths = tokens.select(F.size("tokens").alias("dl"))
-    else:
-        # one row a chunk and wanted term, and one without a term that stands for the chunk itself
-        wanted = bounded(query_terms(queries, tokenizer).select("term").distinct())
+    elif wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # one row a chunk and wanted term, and one without a term that stands for the chunk itself; the terms go to
+        # the tokens, so nothing is shuffled by term
         every = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
-        found = every.join(wanted.withColumn("known", F.lit(True)), "term", "left").where(F.col("known") | F.col("term").isNull())
+        found = every.join(F.broadcast(wanted.withColumn("known", F.lit(True))), "term", "left").where(F.col("known") | F.col("term").isNull())
         rows = stored(found.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
         postings, lengths = rows.where("term IS NOT NULL").select("term", "chunk_id", "tf", "dl"), rows.where("term IS NULL")
         terms = stored(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    else:
+        # many terms meet the tokens by a shuffle: each chunk's terms are counted before it, lengths go their own way
+        every = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+        postings = stored(every.join(wanted, "term", "left_semi").select("term", "chunk_id", "tf", "dl"), "postings")
+        terms = stored(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+        lengths = tokens.select(F.size("tokens").alias("dl"))
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
     return TextIndex(postings, terms, stats if queries is None else stored(stats, "stats"))
 
@@ -96,20 +104,20 @@ class BM25:
         return idf * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, params: BM25 = BM25(), index: TextIndex | None = None) -> DataFrame:
+def bm25_scores(chunks: DataFrame, queries: DataFrame, params: BM25 = BM25(), index: TextIndex | None = None, tokenizer: str = "regex") -> DataFrame:
     """(query_id, chunk_id, score) of every chunk that shares a term with a query; without an index, by one
     for these queries."""
-    index = index or text_index(chunks, queries)
+    index = index or text_index(chunks, queries, tokenizer)
     # stats is one row
-    rated = query_terms(queries).join(index.terms, "term").crossJoin(F.broadcast(index.stats))
+    rated = query_terms(queries, tokenizer).join(index.terms, "term").crossJoin(F.broadcast(index.stats))
     rows = index.postings.join(bounded(rated), "term")
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * params.weight()).alias("score"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, params: BM25 = BM25(), index: TextIndex | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, params: BM25 = BM25(), index: TextIndex | None = None, tokenizer: str = "regex") -> DataFrame:
     """Top k hits by BM25; scores are rounded to 4 places after the ranking."""
     # rounding first: equal texts must tie whatever order their terms were added in
-    rows = ranked(bm25_scores(chunks, queries, params, index), k, F.desc(F.round("score", 9)), F.col("chunk_id"))
+    rows = ranked(bm25_scores(chunks, queries, params, index, tokenizer), k, F.desc(F.round("score", 9)), F.col("chunk_id"))
     return rows.select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -149,9 +157,18 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(rows, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
-def embed_queries(queries: DataFrame, provider: str = "mock", model: str = MODEL, dimension: int = DIMENSION) -> DataFrame:
-    """(query_id, vector) of the queries that have text."""
-    return queries.where(~T.is_blank(F.col("query"))).select("query_id", EMBEDDERS[provider](model, dimension)("query").alias("vector"))
+def embed_queries(queries: DataFrame, provider: str = "mock", model: str = MODEL, dimension: int = DIMENSION, faults: Faults | None = None) -> DataFrame:
+    """(query_id, vector) of the queries that have text. With an error channel, queries whose embedding raises or is
+    no sound vector are reported there and left out."""
+    rows, embed = queries.where(~T.is_blank(F.col("query"))), EMBEDDERS[provider](model, dimension)
+    if faults is None:
+        return rows.select("query_id", embed("query").alias("vector"))
+    rows = rows.select("query_id", guarded(embed, "array<double>")("query").alias("made")).select("query_id", "made.*")
+    unsound = failure("RETRIEVAL_FAILED", F.lit(f"the embedding is no finite vector of {dimension} numbers"))
+    fine = F.coalesce(valid_vector(F.col("value"), dimension), F.lit(False))
+    rows = stored(rows.select("query_id", F.col("value").alias("vector"), F.when(F.col("failure").isNotNull(), F.col("failure")).when(~fine, unsound).alias("failure")), "query_vectors")
+    faults.report(rows.where("failure IS NOT NULL"))
+    return rows.where("failure IS NULL").select("query_id", "vector")
 
 
 def fuse(sources: list[tuple[str, DataFrame, float]], k: int, constant: int = 60) -> DataFrame:
@@ -189,9 +206,15 @@ def deduplicate(rows: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("query_pos", "rank", "chunk_id")))
 
 
-def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunks; a hit whose chunk is missing ends the query."""
+def with_chunks(hits: DataFrame, chunks: DataFrame, faults: Faults | None = None) -> DataFrame:
+    """Hits with their chunks. A hit whose chunk is missing ends the query; with an error channel it is reported
+    there, and only the hits of its own question go."""
     known = chunks.withColumn("_known", F.lit(True))
+    if faults is not None:
+        rows = stored(hits.join(known, "chunk_id", "left"), "hits_with_chunks")
+        lost = rows.where("_known IS NULL").groupBy("query_id").agg(F.min(F.col("chunk_id").cast("string")).alias("c"))
+        faults.report(lost.select("query_id", failure("RETRIEVAL_FAILED", F.concat(F.lit("no chunk "), "c")).alias("failure")))
+        return faults.without(rows.where("_known")).drop("_known")
     missing = F.raise_error(F.concat(F.lit("RETRIEVAL_FAILED: no chunk "), F.col("chunk_id").cast("string"))).cast("boolean")
     return hits.join(known, "chunk_id", "left").where(F.when(F.col("_known").isNull(), missing).otherwise(True)).drop("_known")
 
@@ -201,11 +224,11 @@ def multi_get(ids: DataFrame, chunks: DataFrame) -> DataFrame:
     return ids.join(chunks, "chunk_id").orderBy("pos")
 
 
-def rerank(hits: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+def rerank(hits: DataFrame, queries: DataFrame, limit: int | None = None, tokenizer: str = "regex") -> DataFrame:
     """Lexical reranking of hits that carry text, by the original query: coverage of the query's tokens,
     density in the chunk, and a bonus for the whole phrase. Adds rerank_score and renumbers rank."""
-    q = queries.select("query_id", F.array_distinct(T.search_tokens(F.col("query"))).alias("_q"), F.lower(T.squeeze(F.col("query"))).alias("_phrase"))
-    rows = hits.join(bounded(q), "query_id").withColumn("_t", T.search_tokens(F.col("text")))
+    q = queries.select("query_id", F.array_distinct(TOKENIZERS[tokenizer](F.col("query"))).alias("_q"), F.lower(T.squeeze(F.col("query"))).alias("_phrase"))
+    rows = hits.join(bounded(q), "query_id").withColumn("_t", TOKENIZERS[tokenizer](F.col("text")))
     m = F.size(F.array_intersect("_q", "_t"))
     phrase = F.when((F.col("_phrase") != "") & F.lower(T.squeeze(F.col("text"))).contains(F.col("_phrase")), 1.0).otherwise(0.0)
     score = F.when((F.size("_q") == 0) | (F.size("_t") == 0), 0.0).otherwise(F.round(m / F.size("_q") * 2.0 + m / F.sqrt(F.size("_t")) + phrase, 6))
@@ -236,11 +259,13 @@ class ResultStages:
     def fetch(self) -> int:
         return max(self.top_k, self.candidate_limit) if self.reranking else self.top_k
 
-    def apply(self, rows: DataFrame, queries: DataFrame) -> DataFrame:
+    def apply(self, rows: DataFrame, queries: DataFrame, tokenizer: str = "regex", seen: Observation | None = None) -> DataFrame:
         """Deduplicate, rerank by the original query, cut."""
         out = deduplicate(rows) if self.deduplicate else rows
+        out = out if seen is None else counted(out, seen)
         if self.reranking:
-            out = RERANKERS[self.reranker](out, queries)
+            order = RERANKERS[self.reranker]
+            out = order(out, queries, tokenizer=tokenizer) if order is rerank else order(out, queries)
         return out.where(F.col("rank") <= self.top_k)
 
 
@@ -267,6 +292,33 @@ def compare(strategies: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame |
     return (reduce(DataFrame.unionByName, found) if found else None), errors, status
 
 
+@dataclass(frozen=True)
+class Fusion:
+    """How the hybrid retriever fuses vector and BM25 hits."""
+
+    multiplier: int = 3
+    constant: int = 60
+    vector_weight: float = 1.0
+    bm25_weight: float = 1.0
+
+    def __post_init__(self):
+        if self.multiplier <= 0 or self.constant < 0 or min(self.vector_weight, self.bm25_weight) < 0:
+            raise ValueError(f"no sound fusion: {self}")
+
+    def weights(self) -> dict[str, float]:
+        return {"vector": self.vector_weight, "bm25": self.bm25_weight}
+
+
+class SearchCounts:
+    """Rows that a search's own job saw on its way."""
+
+    def __init__(self):
+        self.candidates, self.deduplicated, self.returned = Observation(), Observation(), Observation()
+
+    def values(self) -> dict[str, int]:
+        return {"candidate_count": rows_seen(self.candidates), "deduplicated_count": rows_seen(self.deduplicated), "returned_count": rows_seen(self.returned)}
+
+
 @dataclass
 class Corpus:
     """What retrievers search: chunks, their vectors, and an optional text index."""
@@ -275,18 +327,25 @@ class Corpus:
     vectors: DataFrame | None = None
     index: TextIndex | None = None
     embedder: dict = field(default_factory=dict)
+    params: BM25 = field(default_factory=BM25)
+    fusion: Fusion = field(default_factory=Fusion)
+    tokenizer: str = "regex"
+    faults: Faults | None = None
 
 
 RETRIEVERS: Registry = Registry(
     "retriever",
-    bm25=lambda corpus, queries, k: bm25(corpus.chunks, queries, k, index=corpus.index),
-    vector=lambda corpus, queries, k: vector_search(corpus.vectors, embed_queries(queries, **corpus.embedder), k),
-    hybrid=lambda corpus, queries, k: hybrid({n: lambda m, n=n: RETRIEVERS[n](corpus, queries, m) for n in ("vector", "bm25")}, k),
+    bm25=lambda corpus, queries, k: bm25(corpus.chunks, queries, k, corpus.params, corpus.index, corpus.tokenizer),
+    vector=lambda corpus, queries, k: vector_search(corpus.vectors, embed_queries(queries, **corpus.embedder, faults=corpus.faults), k),
+    hybrid=lambda corpus, queries, k: hybrid({n: lambda m, n=n: RETRIEVERS[n](corpus, queries, m) for n in ("vector", "bm25")}, k, corpus.fusion.weights(), corpus.fusion.multiplier, corpus.fusion.constant),
 )
 
 
-def search(corpus: Corpus, queries: DataFrame, strategy: str = "vector", stages: ResultStages = ResultStages(), forms: list[DataFrame] | None = None) -> DataFrame:
+def search(corpus: Corpus, queries: DataFrame, strategy: str = "vector", stages: ResultStages = ResultStages(), forms: list[DataFrame] | None = None, counts: SearchCounts | None = None) -> DataFrame:
     """Final hits with their chunks. `forms` are rewritten queries to search for, in order; results are
-    reranked by the original ones."""
+    reranked by the original ones. `counts` are filled in by the job that reads the hits."""
     found = candidates([RETRIEVERS[strategy](corpus, q, stages.fetch()) for q in (forms or [queries])])
-    return stages.apply(with_chunks(found, corpus.chunks), queries)
+    found = with_chunks(found, corpus.chunks, corpus.faults)
+    if counts is None:
+        return stages.apply(found, queries, corpus.tokenizer)
+    return counted(stages.apply(counted(found, counts.candidates), queries, corpus.tokenizer, counts.deduplicated), counts.returned)

@@ -15,15 +15,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .engine import Engine
+from .engine import Answered, Engine
+from .errors import ERRORS  # noqa: F401 (part of the interface)
 from .operators.retrieve import RETRIEVERS, ResultStages
-
-# Error codes of the engine.
-ERRORS = (
-    "INVALID_CONFIG", "INVALID_QUERY", "INVALID_SOURCE", "INVALID_REQUEST", "DOCUMENT_LOAD_FAILED", "DOCUMENT_PARSE_FAILED", "INDEX_FAILED", "INDEX_NOT_FOUND",
-    "INDEX_INCOMPATIBLE", "RETRIEVAL_FAILED", "EVIDENCE_TRANSFORM_FAILED", "GENERATION_FAILED", "CITATION_VALIDATION_FAILED",
-)
-
+from .sources.session import Tables
 
 class RequestError(ValueError):
     """A request that can't be served."""
@@ -157,18 +152,23 @@ class Runtime:
         e = self.engine
         s = e.settings.results
         stages = ResultStages(request.top_k, s.reranking, max(s.candidate_limit, request.top_k), s.deduplicate, s.reranker)
-        rows = _rows(e.search(self._one(request.query), request.retriever, stages), HIT_FIELDS, "rank")
+        with Tables():
+            rows = _rows(e.search(self._one(request.query), request.retriever, stages), HIT_FIELDS, "rank")
         return {"query": request.query, "retriever": request.retriever or e.settings.retriever, "results": rows}
 
     def compare(self, request: CompareRequest) -> dict:
-        hits, both, errors, status = self.engine.compare(self._one(request.query), list(request.retrievers), request.top_k)
-        found = _rows(hits, ("strategy", "chunk_id", "score", "rank"), "strategy", "rank") if hits is not None else []
+        with Tables():
+            hits, both, errors, status = self.engine.compare(self._one(request.query), list(request.retrievers), request.top_k)
+            found = _rows(hits, ("strategy", "chunk_id", "score", "rank"), "strategy", "rank") if hits is not None else []
+            overlap = _rows(both, ("chunk_id", "ranks"), "chunk_id") if both is not None else []
         by = {n: [{k: v for k, v in r.items() if k != "strategy"} for r in found if r["strategy"] == n] for n in request.retrievers if n not in errors}
-        overlap = _rows(both, ("chunk_id", "ranks"), "chunk_id") if both is not None else []
         return {"query": request.query, "status": status, "results": by, "errors": errors, "overlaps": overlap}
 
     def ask(self, request: AskRequest) -> dict:
-        a = self.engine.ask(self._one(request.question))
+        with self.engine.ask(self._one(request.question)) as a:
+            return self._answer(request, a)
+
+    def _answer(self, request: AskRequest, a: Answered) -> dict:
         answer = a.answers.head().asDict(recursive=True)
         answer.pop("query_id")
         cited = _rows(a.packed.citations.where(F.col("citation_id").isin(answer["citation_ids"] or [""])), ("citation_id", "chunk_id", "doc_id", "title", "source_path", "section", "page_start", "page_end", "snippet"), "citation_id")
@@ -185,5 +185,5 @@ class Runtime:
         out = {"state": self.state, "error": self.error}
         if self.state == "running":
             m = self.engine.index.manifest
-            out |= {"index_id": m.index_id, "definition": asdict(m.definition), "counts": m.counts}
+            out |= {"index_id": m.index_id, "definition": asdict(m.definition), "counts": m.counts, "runtime": self.engine.snapshot()}
         return out

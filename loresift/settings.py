@@ -9,8 +9,10 @@ from pathlib import Path
 from .operators.chunk import Chunking
 from .operators.clean import PageCleaning
 from .operators.context import Budget
-from .operators.retrieve import BM25, ResultStages
+from .operators.generate import Endpoint
+from .operators.retrieve import BM25, TOKENIZERS, Fusion, ResultStages
 from .sources.files import Scan
+from .sources.stores import REPOSITORIES
 
 
 class SettingsError(ValueError):
@@ -26,6 +28,30 @@ class Index:
     dimension: int = 16
     skip_existing: bool = True
     fail_on_blank: bool = True
+    document_store: str = "parquet"
+    chunk_store: str = "parquet"
+    vector_store: str = "parquet"
+
+    def stores(self) -> dict[str, str]:
+        return {"documents": self.document_store, "chunks": self.chunk_store, "vectors": self.vector_store}
+
+    def __post_init__(self):
+        for name, kind in self.stores().items():
+            if kind not in REPOSITORIES[name]:
+                raise ValueError(f"no store {kind!r} for {name}; there are {', '.join(REPOSITORIES[name])}")
+
+
+@dataclass(frozen=True)
+class Reports:
+    """Where reports of builds, searches and comparisons go (nowhere if blank), and what they show of texts."""
+
+    path: str = ""
+    text: bool = False
+    preview: int = 160
+
+    def __post_init__(self):
+        if self.preview <= 0:
+            raise ValueError("a preview needs a positive length")
 
 
 @dataclass(frozen=True)
@@ -54,16 +80,24 @@ class Settings:
 
     allowed: tuple[str, ...] = ("data/raw",)
     retriever: str = "vector"
+    tokenizer: str = "regex"
     scan: Scan = field(default_factory=Scan)
     pages: PageCleaning = field(default_factory=PageCleaning)
     chunking: Chunking = field(default_factory=Chunking)
     index: Index = field(default_factory=Index)
     bm25: BM25 = field(default_factory=BM25)
+    hybrid: Fusion = field(default_factory=Fusion)
     results: ResultStages = field(default_factory=ResultStages)
     context: Budget = field(default_factory=Budget)
     answering: Answering = field(default_factory=Answering)
+    model: Endpoint = field(default_factory=Endpoint)
+    reports: Reports = field(default_factory=Reports)
     experiments: dict[str, Experiment] = field(default_factory=dict)
 
+    def __post_init__(self):
+        if self.tokenizer not in TOKENIZERS:
+            raise ValueError(f"no tokenizer {self.tokenizer!r}; there are {', '.join(TOKENIZERS)}")
+
     @classmethod
     def load(cls, path: str | Path | None) -> Settings:
         """Settings of a file; without one, the defaults."""

@@ -31,6 +31,8 @@ class Scan:
     temporary_prefixes: tuple[str, ...] = ("~$",)
     temporary_suffixes: tuple[str, ...] = (".tmp", ".part", ".crdownload")
     suffixes: tuple[str, ...] = field(default_factory=lambda: tuple(TYPES))
+    #: Whether one bad file ends a build; else it is a row of failures.
+    fail_fast: bool = False
 
     def wanted(self, rel: Column) -> Column:
         """Whether the file at a relative path is a document of the scan."""

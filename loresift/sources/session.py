@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -15,10 +18,48 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """`df` computed once and read back by all who use it, from the folder that spark.checkpoint.dir names; the
-    table goes when the driver ends. Only a local session gets a folder of its own where none is named."""
-    spark = df.sparkSession
+class Tables:
+    """Owner of the tables that are stored while it is entered. They go when it is left, or with `drop`, for
+    results that are read later. `written` says of each what was measured while it was written."""
+
+    def __init__(self):
+        self.written: list[dict] = []
+        self._at: list[tuple[SparkSession, str]] = []
+        self._entered = None
+
+    def add(self, spark: SparkSession, at: str, said: dict) -> None:
+        self._at.append((spark, at))
+        self.written.append(said)
+
+    def enter(self) -> Tables:
+        """Own what is stored from now on, until `leave`."""
+        self._entered = _OWNER.set(self)
+        return self
+
+    def leave(self) -> None:
+        if self._entered is not None:
+            _OWNER.reset(self._entered)
+            self._entered = None
+
+    def drop(self) -> None:
+        for spark, at in self._at:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._at = []
+
+    def __enter__(self) -> Tables:
+        return self.enter()
+
+    def __exit__(self, *_) -> None:
+        self.leave()
+        self.drop()
+
+
+_OWNER: ContextVar[Tables | None] = ContextVar("owner", default=None)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local session gets one of its own where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.conf.get("spark.master", "")
@@ -26,8 +67,30 @@ def stored(df: DataFrame, what: str) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loresift-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    at = f"{folder.rstrip('/')}/loresift/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    return folder.rstrip("/")
+
+
+def counted(df: DataFrame, seen: Observation) -> DataFrame:
+    """`df` with its rows counted by whatever job reads it."""
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+
+def rows_seen(seen: Observation) -> int:
+    """The count of `counted`, once a job has run; a plan that was found empty counts nothing."""
+    return seen.get.get("rows", 0)
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """`df` computed once and read back by all who use it, from the shared folder. The table goes with the `Tables`
+    that own it, or else when the driver ends."""
+    spark, owner = df.sparkSession, _OWNER.get()
+    at = f"{shared_folder(spark)}/loresift/{what}-{uuid.uuid4().hex}"
+    seen, began = Observation(), time.perf_counter()
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    if owner:
+        owner.add(spark, at, said := {"table": what})
+    counted(df, seen).write.parquet(at)
+    if owner:
+        said |= {"rows": rows_seen(seen), "ms": round((time.perf_counter() - began) * 1000, 2)}
     return spark.read.schema(df.schema).parquet(at)
