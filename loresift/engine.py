@@ -19,6 +19,7 @@ from .operators import index as I
 from .operators import plan_queries as Q
 from .operators import reports
 from .operators import retrieve as R
+from .operators.phrases import phrase_search
 from .operators.reports import Trace
 from .settings import Experiment, Settings
 from .sources import files
@@ -111,6 +112,10 @@ class Engine:
         asked = _checked(questions) if faults is None else questions
         return R.search(self._corpus(faults), asked, retriever or self.settings.retriever, stages or self.settings.results, forms, counts)
 
+    def phrases(self, questions: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, occurrences, first) of the chunks that hold each question word for word."""
+        return phrase_search(self.index.table("positions"), _checked(questions), self.index.manifest.definition.tokenizer)
+
     def search_report(self, questions: DataFrame, retriever: str | None = None, stages: R.ResultStages | None = None, name: str = "retrieval.json") -> dict:
         """A search as a report; it is written too where reports go. A search that fails has a report of its own."""
         s, chosen = self.settings, stages or self.settings.results

@@ -1,7 +1,7 @@
 """Persistent indexes: building, manifests, integrity, loading.
 
-An index is a folder of tables (documents, blocks, chunks, vectors, postings, terms, stats, failures) and a
-manifest. Tables are written to a folder of their own per build; the manifest names it and is written last, so a
+An index is a folder of tables (documents, blocks, chunks, vectors, postings, terms, stats, positions, failures)
+and a manifest. Tables are written to a folder of their own per build; the manifest names it and is written last, so a
 reader sees a whole index or the one before. Documents, chunks and vectors lie in stores chosen by name, the
 others are Parquet. What a build counts is observed by the jobs that write its tables.
 """
@@ -26,9 +26,10 @@ from . import chunk as C
 from . import clean as CL
 from . import embed as E
 from . import parse as P
+from . import phrases
 from . import retrieve as R
 
-SCHEMA_VERSION = 5
+SCHEMA_VERSION = 6
 DEFAULT_STORES = {"documents": "parquet", "chunks": "parquet", "vectors": "parquet"}
 
 
@@ -155,6 +156,7 @@ def build(spark: SparkSession, source_dir: str, path: str, definition: Definitio
         vectors, made = work.put("vectors", vectors, **origins)
         began = time.perf_counter()
         R.text_index(chunks, tokenizer=definition.tokenizer).write(manifest.tables)
+        phrases.write(phrases.positional_index(chunks, definition.tokenizer), f"{manifest.tables}/positions")
         manifest.stages.append({"stage": "postings", "status": "success", "latency_ms": _ms(began)})
         manifest.counts = {"documents": documents["rows"], "chunks": cut["rows"], "vectors": made["rows"], "failures": failed["rows"], **{k: made[k] for k in origins}, "blank_chunks": empty.get.get("blank", 0)}
         check(Index(spark, manifest))
@@ -168,14 +170,18 @@ def build(spark: SparkSession, source_dir: str, path: str, definition: Definitio
 
 
 def _vectors(spark, chunks, before, definition, skip_existing):
-    """Vectors of all chunks, with where they came from as `origin`."""
+    same = before is not None and before.status == "ready" and (before.definition.provider, before.definition.model, before.definition.dimension) == (definition.provider, definition.model, definition.dimension)
     rows = chunks.select("chunk_id", "doc_id", "version_id", "source_path", "title", "section", "text")
+    return reused(rows, Index(spark, before).table("vectors") if same else None, definition, skip_existing)
+
+
+def reused(chunks: DataFrame, old: DataFrame | None, definition: Definition, skip_existing: bool = True) -> DataFrame:
+    """Vectors of all chunks (chunk_id, text, ...), with where they came from as `origin`: chunks that the old
+    vectors have are skipped, texts that they have are cache hits, and only the others are embedded."""
     schema = "provider string, model_name string, dimension int, text_hash string, vector array<double>"
-    same = before is not None and before.status == "ready" and (before.definition.provider, before.definition.model, before.definition.dimension) == (definition.provider, definition.model, definition.dimension)
-    old = Index(spark, before).table("vectors") if same else None
-    cache = old.select("provider", "model_name", "dimension", "text_hash", "vector") if same else spark.createDataFrame([], schema)
-    kept = None
-    if same and skip_existing:
+    cache = old.select("provider", "model_name", "dimension", "text_hash", "vector") if old is not None else chunks.sparkSession.createDataFrame([], schema)
+    kept, rows = None, chunks
+    if old is not None and skip_existing:
         known = old.select("chunk_id", "text_hash", "vector")
         kept = rows.join(known, "chunk_id").withColumn("origin", F.lit("skipped"))
         rows = rows.join(known, "chunk_id", "left_anti")
@@ -209,7 +215,7 @@ def copied(index: Index, path: str, stores: dict[str, str]) -> Manifest:
     old = index.manifest
     new = Manifest(old.definition, old.document_set_hash, "building", dict(old.counts), f"{path}/build-{uuid.uuid4().hex}", stores=old.stores | stores)
     work = _Build(index.spark, new)
-    for name in (*DEFAULT_STORES, "blocks", "failures", "postings", "terms", "stats"):
+    for name in (*DEFAULT_STORES, "blocks", "failures", "postings", "terms", "stats", "positions"):
         work.put(name, index.table(name))
     check(Index(index.spark, new))
     new.status = old.status

@@ -124,39 +124,76 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, params: BM25 = BM25(), i
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Top k hits of (query_id, vector) by cosine over (chunk_id, vector), negative scores included.
 
-    The query side is a stated batch. It is sent to all executors in blocks of a bounded size, where
-    blocks of vectors are multiplied with it at once and each keeps its best k per query. Every vector is
-    scored exactly.
+    The query side is a stated batch. Up to a bounded size it is sent to all executors, where blocks of vectors
+    are multiplied with it at once and each keeps its best k per query; a larger one meets the vectors in a grid
+    of blocks. Every vector is scored exactly.
     """
     if (count := queries.count()) > BROADCAST_ROWS:
-        n = -(-count * 2 // BROADCAST_ROWS)
-        block = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        return reduce(DataFrame.unionByName, [vector_search(vectors, queries.where(block == i), k) for i in range(n)])
+        return _vector_grid(vectors, queries, k, -(-count * 2 // BROADCAST_ROWS))
     batch = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).toPandas()
-    ids, q = batch["query_id"], np.stack(batch["vector"]) if len(batch) else np.zeros((0, 0))
-    q = q / np.where((size := np.linalg.norm(q, axis=1, keepdims=True)) == 0, 1, size)
+    ids, q = batch["query_id"].to_numpy(), _units(batch["vector"]) if len(batch) else np.zeros((0, 0))
     kinds = dict(vectors.dtypes), dict(queries.dtypes)
 
     def run(batches):
         for b in batches:
-            if not len(b) or not len(q):
-                continue
-            v = np.stack(b["vector"]).astype(float)
-            s = (v / np.where((size := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, size)) @ q.T
-            names = b["chunk_id"].to_numpy()
-            for i in range(len(q)):
-                near = s[:, i].round(12)  # equal vectors tie whatever the block's shape
-                if len(near) > k:
-                    least = np.partition(near, len(near) - k)[len(near) - k]
-                    at = np.flatnonzero(near >= least)
-                else:
-                    at = np.arange(len(near))
-                yield pd.DataFrame({"query_id": [ids[i]] * len(at), "chunk_id": names[at], "score": near[at]})
+            if len(b) and len(q):
+                yield _best(ids, q, b["chunk_id"].to_numpy(), _units(b["vector"]), k)
 
     rows = vectors.select("chunk_id", "vector").mapInPandas(run, f"query_id {kinds[1]['query_id']}, chunk_id {kinds[0]['chunk_id']}, score double")
     return ranked(rows, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    """Vectors of length one as rows; zero vectors stay."""
+    v = np.stack(vectors).astype(float)
+    return v / np.where((size := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, size)
+
+
+def _best(ids, q: np.ndarray, names: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """Of every question, the k best of some vectors, and what ties with the last of them."""
+    s = v @ q.T
+    out_q, out_c, out_s = [], [], []
+    for i in range(len(q)):
+        near = s[:, i].round(12)  # equal vectors tie whatever the block's shape
+        if len(near) > k:
+            at = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k])
+        else:
+            at = np.arange(len(near))
+        if len(at) > k:  # of those that tie, the smallest ids
+            at = at[np.lexsort((names[at], -near[at]))[:k]]
+        out_q.append(np.full(len(at), i))
+        out_c.append(names[at])
+        out_s.append(near[at])
+    which = np.concatenate(out_q)
+    return pd.DataFrame({"query_id": np.asarray(ids)[which], "chunk_id": np.concatenate(out_c), "score": np.concatenate(out_s)})
+
+
+#: Vectors that a cell of the grid holds.
+CELL_ROWS = 1 << 16
+
+
+def _vector_grid(vectors: DataFrame, queries: DataFrame, k: int, blocks: int) -> DataFrame:
+    """`vector_search` for many questions: both sides are dealt into blocks, and every pair of blocks is a cell that
+    one task holds. Vectors are read once; each goes to one cell for every block of questions, and each question to
+    one cell for every block of vectors. What leaves a cell is k rows a question."""
+    kinds = dict(vectors.dtypes), dict(queries.dtypes)
+    shards = max(1, -(-vectors.count() // CELL_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    plain = F.transform("vector", lambda x: x.cast("double")).alias("vector")
+    left = vectors.select("chunk_id", plain, F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
+    right = queries.select("query_id", plain, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
+
+    def cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        names, units = v["chunk_id"].to_numpy(), _units(v["vector"])
+        parts = [_best(q["query_id"].iloc[a : a + 256], _units(q["vector"].iloc[a : a + 256]), names, units, k) for a in range(0, len(q), 256)]
+        return pd.concat(parts)
+
+    rows = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(cell, f"query_id {kinds[1]['query_id']}, chunk_id {kinds[0]['chunk_id']}, score double")
+    return ranked(rows, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+
+
 def embed_queries(queries: DataFrame, provider: str = "mock", model: str = MODEL, dimension: int = DIMENSION, faults: Faults | None = None) -> DataFrame:
     """(query_id, vector) of the queries that have text. With an error channel, queries whose embedding raises or is
     no sound vector are reported there and left out."""
