@@ -17,7 +17,6 @@ from ..operators import embed as E
 from ..operators import evaluate as V
 from ..operators import generate as G
 from ..operators import parse as P
-from ..operators import plan_queries as Q
 from ..operators import retrieve as R
 from ..sources.session import prepared, stored
 
@@ -276,22 +275,6 @@ def lexical_rerank(spark, sf_dir):
     return R.rerank(_hits(spark, sf_dir), questions(spark, sf_dir), 3).select("query_id", "chunk_id", "retrieval_rank", "rerank_score", "rank")
 
 
-_ASK = [(1, "什么是 重排序 和 精排?"), (2, "混合检索  与 bm25"), (3, "plain question"), (4, "引用 citation 与 幻觉"), (5, "两阶段 关键词检索 上下文")]
-
-
-@query("""
-WITH q(query_id, t) AS (VALUES (1, '什么是 重排序 和 精排?'), (2, '混合检索 与 bm25'), (3, 'plain question'), (4, '引用 citation 与 幻觉'), (5, '两阶段 关键词检索 上下文')),
-a(o, term, alias) AS (VALUES (1, '重排序', 'reranking'), (2, '重排序', 'reranker'), (3, '精排', 'reranking'), (4, '精排', 'reranker'), (5, '两阶段', 'two-stage retrieval'), (6, '两阶段', 'candidate retrieval'),
- (7, '混合检索', 'hybrid retrieval'), (8, '混合检索', 'dense sparse retrieval'), (9, '向量检索', 'dense retrieval'), (10, '向量检索', 'embedding similarity'), (11, '关键词检索', 'BM25'), (12, '关键词检索', 'sparse retrieval'),
- (13, '引用', 'citation'), (14, '引用', 'grounded answer'), (15, '幻觉', 'hallucination'), (16, '幻觉', 'groundedness'), (17, '上下文', 'context packing'), (18, '上下文', 'token budget')),
-m AS (SELECT query_id, t, alias, min(o) AS o FROM q JOIN a ON contains(t, term) AND NOT contains(lower(t), lower(alias)) GROUP BY ALL),
-k AS (SELECT query_id, string_agg(alias, ' ' ORDER BY o) AS keys, count(*) AS n FROM m GROUP BY query_id)
-SELECT q.query_id, t AS original_query, trim(t || ' ' || coalesce(keys, '')) AS primary_query, coalesce(n, 0)::INTEGER AS keyword_count FROM q LEFT JOIN k USING (query_id)""")
-def query_expansion(spark, sf_dir):
-    rows = Q.rule_based(spark.createDataFrame(_ASK, "query_id int, query string"), 2)
-    return rows.select("query_id", "original_query", "primary_query", F.size("keywords").alias("keyword_count"))
-
-
 def _evidence(spark, sf_dir) -> DataFrame:
     """Hits as evidence; a source stands for a document, so that its quota matters."""
     rows = _hits(spark, sf_dir).withColumnRenamed("source", "doc_id")
