@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..registry import Registry
 from .context import Packed
+from .requests import logged
 
 # Fixed value: how a citation stands in an answer.
 INLINE = r"\[([A-Za-z][A-Za-z0-9_-]*)\]"
@@ -58,9 +59,9 @@ def mock_payloads(questions: DataFrame, citations: DataFrame) -> DataFrame:
     return rows.select("query_id", payload.alias("payload"))
 
 
-def http_payloads(prompt_rows: DataFrame, url: str, model: str, key: Callable[[], str], retries: int = 1, timeout: float = 30.0) -> DataFrame:
-    """Model output from a chat-completions endpoint, one request per row; `key` is called on executors, so
-    no secret travels in a plan. Failing requests give an error column, not a failed job."""
+def http_call(url: str, model: str, key: Callable[[], str], retries: int = 1, timeout: float = 30.0) -> Callable[[str, str], tuple[str | None, str | None]]:
+    """A call to a chat-completions endpoint: (system, user) to (content, error). `key` is called where the call is
+    made, so no secret travels in a plan."""
 
     def ask(system, user):
         body = json.dumps({"model": model, "temperature": 0, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}).encode()
@@ -79,6 +80,14 @@ def http_payloads(prompt_rows: DataFrame, url: str, model: str, key: Callable[[]
                 time.sleep(2**n)
         return None, error
 
+    return ask
+
+
+def http_payloads(prompt_rows: DataFrame, url: str, model: str, key: Callable[[], str], retries: int = 1, timeout: float = 30.0) -> DataFrame:
+    """Model output from a chat-completions endpoint, one request per row. Failing requests give an error column, not
+    a failed job; a task that is run again asks again."""
+    ask = http_call(url, model, key, retries, timeout)
+
     def run(batches):
         for b in batches:
             got = [ask(s, u) for s, u in zip(b["system_prompt"], b["user_prompt"])]
@@ -99,6 +108,10 @@ class Endpoint:
     window: int = 4096
     output: int = 512
     margin: int = 64
+    #: A folder in which answers are logged, so that no request is made twice; none if blank.
+    log: str = ""
+    in_flight: int = 4
+    per_second: float = 0.0
 
 
 def endpoint_payloads(asked: DataFrame, packed: Packed, endpoint: Endpoint = Endpoint(), language: str = "English") -> DataFrame:
@@ -108,7 +121,11 @@ def endpoint_payloads(asked: DataFrame, packed: Packed, endpoint: Endpoint = End
     some = packed.citations.select("query_id").distinct()
     rows = rows.join(some, "query_id", "left_semi")
     variable = endpoint.key_variable
-    said = http_payloads(rows.where("fits"), endpoint.url, endpoint.model, lambda: os.environ.get(variable, ""), endpoint.retries, endpoint.timeout)
+    where = (endpoint.url, endpoint.model, lambda: os.environ.get(variable, ""), endpoint.retries, endpoint.timeout)
+    if endpoint.log:
+        said = logged(rows.where("fits"), http_call(*where), endpoint.log, model=endpoint.model, in_flight=endpoint.in_flight, per_second=endpoint.per_second)
+    else:
+        said = http_payloads(rows.where("fits"), *where)
     long = rows.where("NOT fits").select("query_id", F.lit(None).cast("string").alias("payload"), F.concat(F.lit("GENERATION_FAILED: the prompt takes "), F.col("prompt_tokens"), F.lit(" tokens, more than the window leaves")).alias("error"))
     none = asked.join(some, "query_id", "left_anti").select("query_id", F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("error"))
     return said.unionByName(long).unionByName(none)

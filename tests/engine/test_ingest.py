@@ -139,3 +139,31 @@ def test_gold_set(spark, tmp_path):
         f.write_text(text)
         with pytest.raises(gold.GoldSetError, match=said):
             gold.load(spark, str(f))
+
+
+class FakeReader:
+    """Stands for a PDF reader: pages parted by form feeds, the first line is what the file says of itself."""
+
+    def open(self, stream, filetype):
+        if not stream.startswith(b"%"):
+            raise RuntimeError("not a PDF")
+        head, _, rest = stream.decode()[1:].partition("\n")
+
+        class Pdf(list):
+            metadata = dict(x.split("=") for x in head.split(";") if x)
+            __enter__ = lambda self: self
+            __exit__ = lambda self, *_: None
+
+        return Pdf([type("Page", (), {"get_text": lambda self, t=t: t})() for t in rest.split("\f")])
+
+
+def test_pdf_metadata(spark):
+    files_ = {"d1": b"%title=Own title;author=A. B.;subject=\nfirst page\f second page", "d2": b"%\nA heading line\fmore", "d3": b"broken"}
+    rows = [row for k, v in files_.items() for row in P.pages_of(FakeReader(), k, v)] + P.pages_of(None, "d4", b"%")
+    assert [(r[0], r[1], r[4]) for r in rows] == [("d1", 1, None), ("d1", 2, None), ("d2", 1, None), ("d2", 2, None), ("d3", 0, "not a PDF"), ("d4", 0, "no PDF reader is installed")]
+    raw = spark.createDataFrame([(k, "v", "h", f"/{k}", f"{k}.pdf") for k in ("d1", "d2")], "doc_id string, version_id string, content_hash string, source_path string, filename string")
+    pages = spark.createDataFrame([r for r in rows if r[4] is None], "doc_id string, page int, text string, info map<string,string>, error string")
+    docs = {r["doc_id"]: r for r in P.parse_pages(raw, pages).collect()}
+    assert docs["d1"]["title"] == "Own title" and docs["d2"]["title"] == "A heading line"
+    assert {k: v for k, v in docs["d1"]["metadata"].items() if k.startswith("pdf_")} == {"pdf_title": "Own title", "pdf_author": "A. B."}
+    assert docs["d1"]["metadata"]["page_count"] == "2" and docs["d2"]["metadata"]["parsed_at"][:2] == "20" and not any(k.startswith("pdf_") for k in docs["d2"]["metadata"])
