@@ -97,11 +97,13 @@ def isolated(metrics: DataFrame, cases: DataFrame, faults: DataFrame | None) ->
 
 def summary(metrics: DataFrame) -> DataFrame:
     """Mean of every metric over the cases that succeeded, nulls left out: overall (question_type null) and
-    by question type, with the number of values."""
+    by question type, with the number of values; of each experiment on its own, where there are some."""
     ok = metrics.where("status = 'success'")
+    own = ["experiment"] if "experiment" in metrics.columns else []
     stack = ", ".join(f"'{m}', `{m}`" for m in METRICS)
-    long = ok.selectExpr("question_type", f"stack({len(METRICS)}, {stack}) AS (metric, value)")
-    return long.groupingSets([["metric"], ["metric", "question_type"]], "metric", "question_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
+    long = ok.selectExpr(*own, "question_type", f"stack({len(METRICS)}, {stack}) AS (metric, value)")
+    sets = [[*own, "metric"], [*own, "metric", "question_type"]]
+    return long.groupingSets(sets, *own, "metric", "question_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
 
 
 def counts(metrics: DataFrame) -> DataFrame:

@@ -108,8 +108,10 @@ def write_evaluation(metrics: DataFrame, summary: DataFrame, path: str, run: dic
 
 
 def evaluation_page(summary: DataFrame) -> str:
-    """A table of metrics by question type; the summary has a row for each pair of them."""
-    rows = sorted((r["question_type"] or "", r["metric"], r["mean"], r["n"]) for r in summary.collect())
-    out = ["# Evaluation", "", "| questions | metric | mean | cases |", "|---|---|---|---|"]
-    out += [f"| {t or 'all'} | {m} | {'-' if v is None else f'{v:.4f}'} | {n} |" for t, m, v, n in rows]
+    """A table of metrics by question type, for each experiment; the summary has a row for each of them."""
+    rows = sorted((r.asDict().get("experiment") or "", r["question_type"] or "", r["metric"], r["mean"], r["n"]) for r in summary.collect())
+    out = ["# Evaluation"]
+    for name in dict.fromkeys(r[0] for r in rows):
+        out += ["", *([f"## {name}", ""] if name else []), "| questions | metric | mean | cases |", "|---|---|---|---|"]
+        out += [f"| {t or 'all'} | {m} | {'-' if v is None else f'{v:.4f}'} | {n} |" for x, t, m, v, n in rows if x == name]
     return "\n".join(out) + "\n"

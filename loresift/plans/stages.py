@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import chunk as C
 from ..operators import context as X
 from ..operators import embed as E
+from ..operators import evaluate as V
 from ..operators import generate as G
 from ..operators import index as I
 from ..operators import parse as P
@@ -285,3 +286,22 @@ def lenient_answers(spark, sf_dir):
     payloads = rows.select("query_id", F.when(F.col("third") == 1, F.lit('{"answer": "cut')).otherwise(whole).alias("payload"))
     allowed = rows.select("query_id", F.explode(F.array(F.lit("C1"), F.lit("C2"))).alias("citation_id"))
     return G.answers(payloads, allowed, "abstain").select("query_id", "status", F.col("abstention_reason").alias("reason"), F.array_join("citation_ids", ",").alias("cited"))
+
+
+def _experiment_sql(k: int) -> str:
+    means = ", l AS (" + " UNION ALL ".join(f"SELECT question_type, '{m}' AS metric, {m} AS value FROM v" for m in V.METRICS) + ")"
+    return K._METRICS.replace("rank <= 5", f"rank <= {k}") + means + " SELECT metric, question_type, round(avg(value), 6) AS mean, count(value) AS n FROM l GROUP BY GROUPING SETS ((metric), (metric, question_type))"
+
+
+@query(f"SELECT 'five' AS experiment, * FROM ({_experiment_sql(5)}) UNION ALL SELECT 'two' AS experiment, * FROM ({_experiment_sql(2)})")
+def experiment_suite(spark, sf_dir):
+    """Two experiments over the same cases and index, five hits a question and two, each with its own summary."""
+    cases, hits = K._cases(spark, sf_dir), K._hits(spark, sf_dir, 5).withColumn("doc_id", F.col("chunk_id")).select("query_id", "rank", "chunk_id", "doc_id")
+
+    def of(k: int) -> DataFrame:
+        used = hits.where(F.col("rank") <= k).withColumn("pos", F.col("rank"))
+        answered = used.select("query_id").distinct().withColumn("some", F.lit(True))
+        status = cases.select("query_id").join(answered, "query_id", "left").select("query_id", F.when(F.col("some"), "answered").otherwise("abstained").alias("status"))
+        return V.case_metrics(cases, used, used, used.where("pos = 1").withColumnRenamed("pos", "n"), status)
+
+    return V.summary(V.suite({"five": lambda: of(5), "two": lambda: of(2)}))
