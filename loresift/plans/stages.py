@@ -14,6 +14,7 @@ from ..operators import embed as E
 from ..operators import evaluate as V
 from ..operators import generate as G
 from ..operators import index as I
+from ..operators import lines as L
 from ..operators import parse as P
 from ..operators import phrases as H
 from ..operators import plan_queries as Q
@@ -96,6 +97,13 @@ def fixed_token_texts(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", "char_start", "char_end", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query(f"WITH {K._WINDOWS} SELECT doc_id, chunk_index, char_start, char_end, sha256(text) AS text_sha256 FROM chunks")
+def line_chunks(spark, sf_dir):
+    """Character windows of documents that come as lines: no document is brought together."""
+    rows = L.character(L.lines_of(documents(spark, sf_dir).select("doc_id", "text")))
+    return rows.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "char_start", "char_end", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("SELECT page_id AS chunk_id FROM pages WHERE html IS NOT NULL AND regexp_matches(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\S')")
 def nonblank_chunks(spark, sf_dir):
     """Pages without their tags as chunks, blank ones left out."""
