@@ -110,7 +110,13 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, params: BM25 = BM25(), in
     index = index or text_index(chunks, queries, tokenizer)
     # stats is one row
     rated = query_terms(queries, tokenizer).join(index.terms, "term").crossJoin(F.broadcast(index.stats))
-    rows = index.postings.join(bounded(rated), "term")
+    postings, few = index.postings, rated.limit(10 * BROADCAST_ROWS + 1).count() <= 10 * BROADCAST_ROWS
+    if few:
+        # a chunk's postings come together before they meet the questions, so that sums over pairs of question and
+        # chunk, which are many more, are not shuffled
+        rated = F.broadcast(rated)
+        postings = postings.join(F.broadcast(rated.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+    rows = postings.join(rated, "term")
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * params.weight()).alias("score"))
 
 
