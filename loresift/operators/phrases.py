@@ -9,17 +9,39 @@ without a token is found nowhere.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .retrieve import TOKENIZERS, bounded
+from ..sources.session import stored
+from .retrieve import BROADCAST_ROWS, TOKENIZERS, bounded
 
 
-def positional_index(chunks: DataFrame, tokenizer: str = "regex") -> DataFrame:
-    """(term, chunk_id, tf, positions) of (chunk_id, text): the places of a term, counted in tokens from 0."""
-    tokens = chunks.select("chunk_id", F.posexplode(TOKENIZERS[tokenizer](F.col("text"))).alias("at", "term"))
-    places = F.sort_array(F.collect_list("at"))
-    return tokens.groupBy("term", "chunk_id").agg(places.alias("positions")).select("term", "chunk_id", F.size("positions").alias("tf"), "positions")
+def positional_index(chunks: DataFrame, tokenizer: str = "regex", phrases: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf, positions) of (chunk_id, text): the places of a term, counted in tokens from 0; for given
+    phrases of their terms only. A chunk's places are grouped in the batch that holds it, so nothing is shuffled."""
+    tokens = chunks.select("chunk_id", TOKENIZERS[tokenizer](F.col("text")).alias("tokens"))
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("tokens").combine_chunks() if isinstance(b.column("tokens"), pa.ChunkedArray) else b.column("tokens")
+            sizes = np.diff(lists.offsets.to_numpy())
+            if not sizes.sum():
+                continue
+            flat = lists.flatten().dictionary_encode()
+            codes = flat.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.argsort(row * len(flat.dictionary) + codes, kind="stable")  # places stay in order
+            row, codes, place = row[order], codes[order], place[order]
+            cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])]))
+            ends = np.append(cut, len(codes)).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(codes[cut])), b.column("chunk_id").take(pa.array(row[cut])), pa.array(np.diff(ends)), places], names=["term", "chunk_id", "tf", "positions"])
+
+    out = tokens.mapInArrow(run, f"term string, chunk_id {dict(chunks.dtypes)['chunk_id']}, tf int, positions array<int>")
+    return out if phrases is None else out.join(bounded(phrase_tokens(phrases, tokenizer).select("term").distinct()), "term", "left_semi")
 
 
 def write(positions: DataFrame, path: str) -> None:
@@ -42,10 +64,11 @@ def phrase_search(positions: DataFrame, phrases: DataFrame, tokenizer: str = "re
     rarest = tokens.join(df, "term", "left").groupBy("query_id", "size").agg(F.min_by(F.struct("term", "at"), F.struct(F.coalesce("df", F.lit(0)), "at")).alias("r"))
     rarest = rarest.select("query_id", "size", F.col("r.term").alias("term"), F.col("r.at").alias("at"))
     starts = positions.join(bounded(rarest), "term").select("query_id", "size", F.col("at").alias("skip"), "chunk_id", F.explode("positions").alias("place"))
-    starts = starts.select("query_id", "size", "skip", "chunk_id", (F.col("place") - F.col("skip")).alias("start")).where("start >= 0")
+    starts = stored(starts.select("query_id", "size", "skip", "chunk_id", (F.col("place") - F.col("skip")).alias("start")).where("start >= 0"), "starts")
     # every other token must stand where this start needs it
     needed = starts.join(bounded(tokens.select("query_id", "at", "term")), "query_id").where(F.col("at") != F.col("skip"))
-    other = positions.select("term", "chunk_id", "positions")
+    held = bounded(starts.where("size > 1").select("chunk_id").distinct(), 20 * BROADCAST_ROWS)
+    other = positions.select("term", "chunk_id", "positions").join(held, "chunk_id", "left_semi")
     good = needed.join(other, ["term", "chunk_id"]).where(F.array_contains("positions", F.col("start") + F.col("at")))
     many = good.groupBy("query_id", "chunk_id", "start", "size").agg(F.count("*").alias("n")).where(F.col("n") == F.col("size") - 1)
     one = starts.where("size = 1").select("query_id", "chunk_id", "start")

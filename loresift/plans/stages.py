@@ -170,8 +170,9 @@ def phrase_hits(spark, sf_dir):
     """Documents that hold each benchmark passage, and its first three words, word for word: from positions alone."""
     whole = questions(spark, sf_dir)
     short = whole.select((F.col("query_id") + 1000000).alias("query_id"), F.array_join(F.slice(F.split("query", " "), 1, 3), " ").alias("query"))
-    positions = stored(H.positional_index(K.chunks(spark, sf_dir)), "positions")
-    return H.phrase_search(positions, whole.unionByName(short)).select("query_id", "chunk_id", "first")
+    asked = whole.unionByName(short)
+    positions = stored(H.positional_index(K.chunks(spark, sf_dir), phrases=asked), "positions")
+    return H.phrase_search(positions, asked).select("query_id", "chunk_id", "first")
 
 
 @query(f"""
