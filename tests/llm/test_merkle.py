@@ -6,7 +6,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from loresift.llm.merkle import codes, edits, fingerprints, likeness, sections, tree
+from loresift.llm.merkle import descent, edits, fingerprints, likeness, sections, tree
 
 
 def test_edited_text_and_next_over_gaps(spark):
@@ -66,16 +66,34 @@ def test_all_columns_against_plain_trees(spark):
     got = {x["doc_id"]: x for x in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     flat = lambda t: [p for s in plain_tree(t) for line in s for p in line]
 
+    def apart(a, b):
+        """Lists without their common start and end, and the characters of these."""
+        n = len(list(itertools.takewhile(lambda p: p[0] == p[1], zip(a, b))))
+        same, a, b = a[:n], a[n:], b[n:]
+        n = len(list(itertools.takewhile(lambda p: p[0] == p[1], zip(reversed(a), reversed(b)))))
+        same += a[len(a) - n :]
+        return sum(len("".join(flat_branch(x))) for x in same), a[: len(a) - n], b[: len(b) - n]
+
+    def flat_branch(x):
+        return [x] if isinstance(x, str) else [p for y in x for p in flat_branch(y)]
+
     def near(a, b):
-        a, b = set(flat(a)), set(flat(b))
-        most = max(sum(map(len, a)), sum(map(len, b)))
-        return sum(map(len, a & b)) / most if most else 1.0
+        most = max(len(a), len(b))
+        a, b, alike = plain_tree(a), plain_tree(b), 0
+        for level in range(3):
+            same, a, b = apart(a, b)
+            alike += same
+            if level < 2:
+                a, b = [y for x in a for y in x], [y for x in b for y in x]
+        return (alike + sum(map(len, set(a) & set(b)))) / most if most else 1.0
 
     for i, t in rows:
         nxt, e = texts[(i + 1) % len(texts)], got[i]["edited_text"]
         assert "".join(flat(t)) == t and got[i]["near_edited"] == pytest.approx(near(t, e)) and got[i]["near_next"] == pytest.approx(near(t, nxt))
         assert got[i]["edited_from"] == sum(len(x) for x, _ in itertools.takewhile(lambda p: p[0] == p[1], zip(flat(t), flat(e))))
-        assert len(got[i]["fingerprint"]) == 33 + 8 * len(flat(t)) and len(got[i]["edited_fingerprint"]) == 33 + 8 * len(flat(e))
+        digits = lambda x: 33 + 8 * sum(map(len, plain_tree(x))) + max(len(plain_tree(x)) - 1, 0)
+        assert len(got[i]["fingerprint"]) == digits(t) and len(got[i]["edited_fingerprint"]) == digits(e)
+        assert (got[i]["near_next"] == 1) == (t == nxt) and (got[i]["near_edited"] == 1) == (t == e)
         for j, u in rows:
             assert (got[i]["fingerprint"][:32] == got[j]["fingerprint"][:32]) == (t == u)
 
@@ -85,12 +103,30 @@ def test_likeness_is_the_share_of_the_whole_text(spark):
     new = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxy      .") for _ in range(n))
     a = new(6000)
     rows = [(a, new(1000) + a[1000:]), (a, a[:1000] + new(5000)), (a, a[:4500] + new(1500)), (a, "!" + a), (a, a[:3000] + "q" + a[3000:])]
-    of = lambda c: codes(sections(F.col(c)))
-    got = [x["l"] for x in spark.createDataFrame(rows, "a string, b string").select(likeness(of("a"), of("b")).alias("l")).collect()]
+    of = lambda c: sections(F.col(c))
+    got = [x["l"] for x in spark.createDataFrame(rows, "a string, b string").select(likeness(descent(of("a"), of("b"))).alias("l")).collect()]
     assert got[0] == pytest.approx(5 / 6, abs=0.04) and got[1] == pytest.approx(1 / 6, abs=0.04) and got[2] == pytest.approx(0.75, abs=0.04)
     assert got[3] > 0.97 and got[4] > 0.97
 
 
+def test_equal_branches_are_not_entered(spark):
+    """Leaves changed by hand under nodes that stay equal are not seen; those under nodes that differ are."""
+    text = "one line. of two\nanother line. of it\n\nthe end. of it all\nand more"
+    df = spark.createDataFrame([(text, text.replace("more", "less"))], "a string, b string").select(sections(F.col("a")).alias("a"), sections(F.col("b")).alias("b"))
+    empty = lambda p, on: p.withField("leaves", F.when(on, F.array(F.lit(5))).otherwise(p["leaves"]))
+    forged = lambda t, at: F.transform(t, lambda s, i: s.withField("paragraphs", F.transform(s["paragraphs"], lambda p, j: empty(p, (i == at[0]) & (j == at[1])))))
+    plain = df.select(likeness(descent(F.col("a"), F.col("b")))).head()[0]
+    under = lambda at: df.select(likeness(descent(F.col("a"), forged(F.col("b"), at)))).head()[0]
+    assert plain == 1 - len("and more") / len(text) + len("and ") / len(text)
+    assert [under(at) == plain for at in [(0, 0), (0, 1), (1, 0), (1, 1)]] == [True, True, True, False]
+
+
+def test_fingerprints_of_long_texts_are_short(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 2000")
+    got = tree(docs).join(docs.select("doc_id", "n_chars"), "doc_id").agg(F.sum(F.length("fingerprint")), F.sum("n_chars")).head()
+    assert got[0] < 0.05 * got[1]
+
+
 def test_a_quarter_of_new_text_is_a_quarter_less_alike(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 1000")
     got = [x["near_edited"] for x in fingerprints(docs).collect()]
