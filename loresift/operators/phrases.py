@@ -1,7 +1,8 @@
 """Positional postings: where each term stands in each chunk, and exact phrase search over that.
 
 A phrase is found by its rarest term. Only the chunks that hold that term are looked at further: the other terms'
-postings of those chunks must hold the places that the phrase then needs. Texts are not read.
+postings of those chunks must hold the places that the phrase then needs. Texts are not read. Postings of the phrases'
+terms are shuffled once, by chunk; a group is what one chunk holds of those terms.
 
 Phrases are sequences of search tokens, so case, punctuation and white space between them do not matter. A phrase
 without a token is found nowhere.
@@ -14,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.session import stored
-from .retrieve import BROADCAST_ROWS, TOKENIZERS, bounded
+from .retrieve import TOKENIZERS, bounded
 
 
 def positional_index(chunks: DataFrame, tokenizer: str = "regex", phrases: DataFrame | None = None) -> DataFrame:
@@ -63,14 +63,13 @@ def phrase_search(positions: DataFrame, phrases: DataFrame, tokenizer: str = "re
     df = positions.join(bounded(tokens.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rarest = tokens.join(df, "term", "left").groupBy("query_id", "size").agg(F.min_by(F.struct("term", "at"), F.struct(F.coalesce("df", F.lit(0)), "at")).alias("r"))
     rarest = rarest.select("query_id", "size", F.col("r.term").alias("term"), F.col("r.at").alias("at"))
-    starts = positions.join(bounded(rarest), "term").select("query_id", "size", F.col("at").alias("skip"), "chunk_id", F.explode("positions").alias("place"))
-    starts = stored(starts.select("query_id", "size", "skip", "chunk_id", (F.col("place") - F.col("skip")).alias("start")).where("start >= 0"), "starts")
-    # every other token must stand where this start needs it
-    needed = starts.join(bounded(tokens.select("query_id", "at", "term")), "query_id").where(F.col("at") != F.col("skip"))
-    held = bounded(starts.where("size > 1").select("chunk_id").distinct(), 20 * BROADCAST_ROWS)
-    other = positions.select("term", "chunk_id", "positions").join(held, "chunk_id", "left_semi")
-    good = needed.join(other, ["term", "chunk_id"]).where(F.array_contains("positions", F.col("start") + F.col("at")))
-    many = good.groupBy("query_id", "chunk_id", "start", "size").agg(F.count("*").alias("n")).where(F.col("n") == F.col("size") - 1)
-    one = starts.where("size = 1").select("query_id", "chunk_id", "start")
-    found = many.select("query_id", "chunk_id", "start").unionByName(one)
-    return found.groupBy("query_id", "chunk_id").agg(F.count("*").alias("occurrences"), F.min("start").alias("first"))
+    starts = positions.join(bounded(rarest), "term").select("query_id", "chunk_id", F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
+    alone, several = starts.join(bounded(rarest.where("size = 1").select("query_id")), "query_id", "left_semi"), bounded(tokens.where("size > 1").groupBy("query_id").agg(F.collect_list(F.struct("at", "term")).alias("tokens")))
+    # what a chunk holds of the phrases' terms comes together once; a start is good if every token stands where it needs it
+    held = positions.join(bounded(tokens.where("size > 1").select("term").distinct()), "term", "left_semi").groupBy("chunk_id").agg(F.collect_list(F.struct("term", "positions")).alias("held"))
+    met = starts.withColumn("starts", F.filter("starts", lambda s: s >= 0)).where(F.size("starts") > 0).join(held, "chunk_id").join(several, "query_id")
+    met = met.where(F.size(F.array_except(F.transform("tokens", lambda t: t["term"]), F.transform("held", lambda h: h["term"]))) == 0)
+    stands = lambda s, t: F.exists("held", lambda h: (h["term"] == t["term"]) & F.array_contains(h["positions"], s + t["at"]))
+    good = met.select("query_id", "chunk_id", F.filter("starts", lambda s: F.forall("tokens", lambda t: stands(s, t))).alias("starts"))
+    found = good.unionByName(alone).where(F.size("starts") > 0)
+    return found.select("query_id", "chunk_id", F.size("starts").cast("long").alias("occurrences"), F.array_min("starts").alias("first"))
