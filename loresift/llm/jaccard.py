@@ -1,7 +1,10 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
 A text is the set of its `words`-word shingles (64-bit hashes, A-Z folded); two texts are linked if the sets
-share `least` or more of their union. The search is exact, by prefixes: under any one order of all shingles,
+share `least` or more of their union. First come SimHash fingerprints of the sets: those that differ in `BITS` bits or
+fewer meet by deletion-variant signatures (`simhash.links`), and the pairs whose whole sets are as like as that are
+linked. Sets at the bound differ in some ten bits, so an exact search follows for the pairs that this has not brought
+into one component, by prefixes: under any one order of all shingles,
 linked sets have one in common among the first n - ceil(least * n) + 1 of each. Shingles that a sample shows to
 be frequent come last in that order, so they seldom stand in a prefix; the order only decides the cost.
 
@@ -28,7 +31,11 @@ from pyspark.sql import functions as F
 from ._spark import ROW, arrow_map, drop, identity, kept, real_id, release, same_row, text_bytes
 from ._vector import U64, SequenceHash, Words, chunks, mix
 from .components import components
+from .simhash import links as fingerprint_links
+from .simhash import majority
 
+#: Differing bits up to which fingerprints are looked up, and parts into which nodes of one fingerprint are dealt.
+BITS, PARTS = 3, 64
 #: Groups up to this size are compared pair by pair at once.
 GROUP = 8
 #: One text in so many is looked at for frequent shingles; how often they occur there, and how many are kept.
@@ -55,6 +62,11 @@ def _node(s: np.ndarray) -> np.int64:
     return mix(np.array([mix(s).sum(dtype=U64) + U64(len(s))], dtype=U64)).view(np.int64)[0]
 
 
+def simhash(s: np.ndarray) -> np.int64:
+    """SimHash fingerprint of a set of shingles."""
+    return np.array([majority(mix(s))], dtype=U64).view(np.int64)[0]
+
+
 def outline(s: np.ndarray) -> bytes:
     """Shingles in each range of hashes, 255 at most."""
     return np.minimum(np.bincount((s >> U64(57)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
@@ -203,11 +215,27 @@ def _later_pairs(rows: DataFrame, least: float) -> DataFrame:
     return _grouped(rows, ["token", "n", "node", "label", "outline"], fn, "a long, b long, token long")
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes with equal fingerprints or with such as differ in BITS bits or fewer. Nodes of one fingerprint meet
+    the smallest of their part, and the parts' smallest that of all; only these stand for it towards other fingerprints."""
+    dealt = nodes.select("fp", "node", F.pmod("node", F.lit(PARTS)).alias("part"))
+    parts = dealt.groupBy("fp", "part").agg(F.min("node").alias("head"))
+    whole = kept(parts.groupBy("fp").agg(F.min("head").alias("first")), "fingerprints")
+    found = kept(fingerprint_links(whole.select("fp"), max_bits=BITS), "simhash-links")
+    one, two = (whole.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    across = found.join(one, "a").join(two, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    within = dealt.join(parts, ["fp", "part"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    heads = parts.join(whole, "fp").select(F.col("head").alias("a"), F.col("first").alias("b"))
+    out = kept(across.unionByName(within).unionByName(heads).where("a != b"), "fingerprint-pairs")
+    drop(whole, found)
+    return out
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The distinct pairs (a, b) whose outlines allow the similarity."""
+    """The distinct pairs (a, b) of different labels whose outlines allow the similarity."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("outline").alias("x"))
-    two = nodes.select(F.col("node").alias("b"), "n", F.col("outline").alias("y"))
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("outline").alias("x"), F.col("label").alias("label_a"))
+    two = nodes.select(F.col("node").alias("b"), "n", F.col("outline").alias("y"), F.col("label").alias("label_b"))
 
     def run(batches):
         for b in batches:
@@ -217,7 +245,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             ok = _alike_enough(m, n, _outlines(b.column("x")), _outlines(b.column("y")), least)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y"), run, "a long, b long")
+    return arrow_map(pairs.join(one, "a").join(two, "b").where("label_a != label_b").select("a", "b", "m", "n", "x", "y"), run, "a long, b long")
 
 
 def _whole_sets(own: DataFrame, need: DataFrame, words: int) -> DataFrame:
@@ -267,21 +295,17 @@ def near_roots(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: s
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"), b.column("mark"), pa.array(np.array([_node(s) for s in sets], dtype=np.int64)), pa.array(np.array([len(s) for s in sets], dtype=np.int64)),
-                    pa.array([outline(s) for s in sets], pa.binary()), _lists([prefix(s, last, least) for s in sets]),
+                    pa.array(np.array([simhash(s) for s in sets], dtype=np.int64)), pa.array([outline(s) for s in sets], pa.binary()), _lists([prefix(s, last, least) for s in sets]),
                 ],
-                names=["doc_id", "mark", "node", "n", "outline", "prefix"],
+                names=["doc_id", "mark", "node", "n", "fp", "outline", "prefix"],
             )
 
     spark = docs.sparkSession
-    rows = kept(arrow_map(own, run, f"{ROW}, node long, n long, outline binary, prefix array<long>"), "shingles")
-    first = rows.groupBy("node").agg(F.first(F.struct("n", "prefix")).alias("x"))
-    found = kept(_first_pairs(first.select("node", "x.n", F.explode("x.prefix").alias("token")), least), "pairs")
+    rows = kept(arrow_map(own, run, f"{ROW}, node long, n long, fp long, outline binary, prefix array<long>"), "shingles")
+    plain = kept(rows.groupBy("node").agg(F.first(F.struct("doc_id", "mark", "n", "fp", "outline")).alias("x")).select("node", "x.*"), "nodes")
     release(spark)
-    nodes = kept(rows.groupBy("node").agg(F.first(F.struct("doc_id", "mark", "n", "outline")).alias("x")).select("node", "x.*"), "nodes")
-    named = kept(rows.select("doc_id", "mark", "node"), "named")
-    drop(rows)
 
-    def linked(pairs):
+    def linked(pairs, nodes):
         some = kept(_possible(pairs, nodes, least), "possible")
         release(spark)
         need = nodes.join(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "mark")
@@ -292,13 +316,24 @@ def near_roots(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: s
         release(spark)
         return out
 
+    by_bits = _fingerprint_pairs(plain)
+    release(spark)
+    links = linked(by_bits, plain.withColumn("label", F.col("node")))
+    nodes = kept(plain.drop("fp").join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "labelled")
+    drop(by_bits, plain)
+    release(spark)
+    first = rows.groupBy("node").agg(F.first(F.struct("n", "prefix")).alias("x"))
+    found = kept(_first_pairs(first.select("node", "x.n", F.explode("x.prefix").alias("token")), least), "pairs")
+    release(spark)
+    named = kept(rows.select("doc_id", "mark", "node"), "named")
+    drop(rows)
     rest = found.where("token IS NOT NULL").select(F.col("a").alias("node"), F.col("b").alias("n"), "token")
     outlines = nodes.select("node", "outline")
     large = kept(rest.join(outlines, "node"), "large")
-    links = linked(found.where("token IS NULL").unionByName(_hub_pairs(large, least)))
+    links = links.unionByName(linked(found.where("token IS NULL").unionByName(_hub_pairs(large, least)), nodes))
     if large.limit(1).count():
         labelled = large.join(components(links), "node", "left").select("token", "n", "node", F.coalesce("root", "node").alias("label"), "outline")
-        links = links.unionByName(linked(_later_pairs(labelled, least)))
+        links = links.unionByName(linked(_later_pairs(labelled, least), nodes))
     drop(large)
     drop(found, nodes)
     roots = components(links)

@@ -35,6 +35,14 @@ GROUP = 2048
 FEW = 11
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes, as an unsigned number."""
+    counts, n = np.zeros(BITS, dtype=np.int64), len(hashes)
+    for at in range(0, n, 1 << 16):  # bounded memory whatever the text's length
+        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, words: int = 3) -> int:
     """SimHash of a text, as an unsigned number."""
     parts = text.lower().split()  # bytes.lower() maps A-Z only; split() cuts at ASCII white space
@@ -47,10 +55,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     last = ends[min(words, len(parts)) - 1 :]
     hash_of = xxhash.xxh64_intdigest
     hashes = np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())], dtype=np.uint64)
-    counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 1 << 16):  # bounded memory whatever the text's length
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

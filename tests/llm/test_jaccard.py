@@ -91,3 +91,23 @@ def test_rows_with_repeated_and_null_ids(spark):
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert got == [(-1, "alone"), (1, t.upper()), (3, "other words")]
     assert near_copies(df.limit(0)).collect() == []
+
+
+def test_fingerprints_link_before_the_exact_search(spark, monkeypatch):
+    """Near copies are found by their SimHash variants, with no pair of the search by prefixes; what the bits bring
+    together and the sets tell apart stays apart."""
+    r = random.Random(4)
+    texts = {}
+    for i in range(0, 60, 3):
+        w = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        texts |= {i: " ".join(w), i + 1: " ".join([*w[:-1], "end"]), i + 2: " ".join(f"v{r.randrange(10**6)}" for _ in range(40))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    asked = []
+    monkeypatch.setattr(jaccard, "_first_pairs", lambda rows, least: asked.append(rows) or spark.createDataFrame([], "a long, b long, token long"))
+    got = {x["doc_id"]: x["component_id"] for x in near_copies(df).collect()}
+    want = brute(texts)
+    assert asked and all(got[i] in (i, want[i]) for i in texts)
+    assert sum(got[i + 1] == i for i in range(0, 60, 3)) >= 15  # a word at the end seldom turns over three bits
+    monkeypatch.undo()
+    monkeypatch.setattr(jaccard, "majority", lambda h: 0)
+    assert {x["doc_id"]: x["component_id"] for x in near_copies(df).collect()} == brute(texts)
