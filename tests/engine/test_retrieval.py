@@ -75,6 +75,26 @@ def test_bm25_equals_the_formula(spark, texts, question):
         assert all(abs(r["score"] + s) < 1e-4 for r, (s, _) in zip(got, want))
 
 
+def test_bm25_of_few_questions_shuffles_no_postings(spark, monkeypatch):
+    """A task holds the best of its chunks, whatever their number: no aggregate over terms or pairs; repeated and null
+    ids count as one chunk, as in SQL."""
+    import random
+
+    r = random.Random(6)
+    texts = [(i // 2 if i % 9 == 0 else None if i % 50 == 1 else 1000 + i, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(0, 30)))) for i in range(300)]
+    texts += [(2000 + i, "a b c d") for i in range(40)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(r.choice("abcdefghz") for _ in range(4))) for i in range(12)], "query_id int, query string")
+    monkeypatch.setattr(R, "PAIRS", 64)
+    plan = R.bm25(chunks.where("chunk_id >= 1000"), asked, 7)._jdf.queryExecution().optimizedPlan().toString()
+    got = R.bm25(chunks, asked, 7)
+    assert "Aggregate" not in plan and "MapInArrow" in plan
+    scores = R.bm25_scores(chunks, asked, index=R.text_index(chunks))
+    want = R.ranked(scores, 7, F.desc(F.round("score", 9)), F.col("chunk_id")).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    key = lambda x: (x["query_id"], x["rank"])
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     v = r.standard_normal((60, 8))
