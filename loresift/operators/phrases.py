@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.session import batched
 from .retrieve import TOKENIZERS, bounded
 
 
@@ -40,7 +41,7 @@ def positional_index(chunks: DataFrame, tokenizer: str = "regex", phrases: DataF
             places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(codes[cut])), b.column("chunk_id").take(pa.array(row[cut])), pa.array(np.diff(ends)), places], names=["term", "chunk_id", "tf", "positions"])
 
-    out = tokens.mapInArrow(run, f"term string, chunk_id {dict(chunks.dtypes)['chunk_id']}, tf int, positions array<int>")
+    out = batched(tokens, run, f"term string, chunk_id {dict(chunks.dtypes)['chunk_id']}, tf int, positions array<int>")
     return out if phrases is None else out.join(bounded(phrase_tokens(phrases, tokenizer).select("term").distinct()), "term", "left_semi")
 
 

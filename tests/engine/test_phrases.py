@@ -79,3 +79,14 @@ def test_index_holds_positions(spark, tmp_path):
     got = e.phrases(spark.createDataFrame([(1, "Rank  fusion"), (2, "of rank"), (3, "lists rank")], "query_id int, query string")).join(e.index.table("chunks"), "chunk_id").select("query_id", "text", "first").collect()
     assert sorted(map(tuple, got)) == [(1, "rank fusion merges lists", 0), (2, "fusion of rank", 1)]
     assert e.index.table("positions").agg(F.sum("tf")).head()[0] == 7
+
+
+def test_places_are_counted_in_batches_bounded_in_bytes(spark):
+    """Long texts are not brought into one batch of many rows: Arrow's batches end at some bytes."""
+    from loresift.sources.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    rows = H.positional_index(spark.createDataFrame([(1, "a b a"), (2, "b")], "chunk_id int, text string"))
+    assert int(spark.conf.get(key)) == BATCH_BYTES
+    assert sorted((r["term"], r["chunk_id"], r["positions"]) for r in rows.collect()) == [("a", 1, [0, 2]), ("b", 1, [1]), ("b", 2, [0])]
