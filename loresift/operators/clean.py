@@ -29,10 +29,10 @@ def edge_lines(pages: DataFrame, config: PageCleaning = PageCleaning()) -> DataF
     stripped = F.filter(F.transform(T.lines(F.col("text")), T.strip), lambda x: x != "")
     n = config.edge_lines
     tail = F.when(F.size("all") > n, F.slice("all", -n, n)).otherwise(F.col("all"))
-    rows = pages.select("doc_id", "page", stripped.alias("all"))
-    rows = rows.select("doc_id", "page", F.array_distinct(F.concat(F.slice("all", 1, n), tail)).alias("edge"))
-    counted = rows.groupBy("doc_id").agg(F.count("*").alias("pages"))
-    lines = rows.select("doc_id", F.explode("edge").alias("line")).where(F.length("line").between(config.min_length, config.max_length))
+    rows = pages.select("doc_id", stripped.alias("all"))
+    counted = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    # outer: else Spark asks first whether there are lines, and computes them again and again for that
+    lines = rows.select("doc_id", F.explode_outer(F.array_distinct(F.concat(F.slice("all", 1, n), tail))).alias("line")).where(F.length("line").between(config.min_length, config.max_length))
     lines = lines.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
     least = F.greatest(F.lit(2), F.ceil(F.col("pages") * config.min_ratio))
     return lines.join(counted, "doc_id").where((F.col("pages") >= 3) & (F.col("n") >= least)).select("doc_id", "line")
@@ -41,35 +41,34 @@ def edge_lines(pages: DataFrame, config: PageCleaning = PageCleaning()) -> DataF
 def without_edge_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
     """Pages without the found lines; `removed` counts them per page."""
     sets = found.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    rows = pages.join(sets, "doc_id", "left").withColumn("all", T.lines(F.col("text")))
-    keep = F.filter("all", lambda x: ~F.array_contains(F.col("gone"), T.strip(x)))
-    return rows.select("doc_id", "page", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")).alias("text"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("all") - F.size(keep)).alias("removed"))
+    kept = F.filter("all", lambda x: ~F.array_contains(F.col("gone"), T.strip(x)))
+    rows = pages.join(sets, "doc_id", "left").withColumn("all", F.when(F.col("gone").isNotNull(), T.lines(F.col("text")))).withColumn("kept", kept)
+    return rows.select("doc_id", "page", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("all") - F.size("kept")).alias("removed"))
 
 
 def join_lines(c: Column) -> Column:
     """Paragraphs from the broken lines of a page: words cut by a hyphen are mended, lines go on until a
-    sentence ends, a heading starts or a blank line stands between."""
+    sentence ends, a heading starts or a blank line stands between. What parts two lines follows from them alone."""
 
     def ends(x):
-        return x.rlike("[.?!\u3002\uff1f\uff01:\uff1a]$")
+        return F.substring(x, -1, 1).isin(*".?!\u3002\uff1f\uff01:\uff1a")
 
     def heading(x):
         return x.rlike(r"(?U)^\d+(\.\d+)*\s+\S+") | ((F.upper(x) == x) & (F.lower(x) != x) & (F.length(x) <= 120))
 
-    def closed(acc):
-        return F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
+    def hyphen(x, y):
+        return x.endswith("-") & y.rlike(r"^\p{Ll}")
 
-    def step(acc, x):
-        now = acc["now"]
-        hyphen = now.endswith("-") & x.rlike(r"^\p{Ll}")
-        goes_on = (now != "") & ~ends(now) & ~heading(x)
-        blank = x == ""
-        same = ~blank & (hyphen | goes_on)
-        text = F.when(blank, F.lit("")).when(hyphen, F.concat(now.substr(F.lit(1), F.length(now) - 1), x)).when(goes_on, F.concat(now, F.lit(" "), x)).otherwise(x)
-        return F.struct(F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"), text.alias("now"))
+    def between(x, y):
+        return F.when(hyphen(x, y), "").when((x != "") & ~ends(x) & ~heading(y), " ").otherwise("\n\n")
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    return F.array_join(F.aggregate(F.transform(T.lines(c), T.strip), start, step, closed), "\n\n")
+    def piece(rows, x, i):
+        before, after = (F.coalesce(F.get(rows, i + step), F.lit("")) for step in (-1, 1))
+        bare = F.when(hyphen(x, after), x.substr(F.lit(1), F.length(x) - 1)).otherwise(x)
+        return F.when(x == "", "").otherwise(F.concat(between(before, x), bare))
+
+    pieces = T.once(F.transform(T.lines(c), T.strip), lambda rows: F.transform(rows, lambda x, i: piece(rows, x, i)))
+    return F.substring(F.array_join(pieces, ""), 3, 2147483647)
 
 
 def clean_pages(pages: DataFrame, config: PageCleaning = PageCleaning()) -> DataFrame:

@@ -70,3 +70,33 @@ def test_page_lines(spark):
 def test_broken_lines(spark):
     assert one(spark, "retrie-\nval is good\nbut long.\n1 Intro\nnext\n\nABC DEF\nends here:\nnew", C.join_lines) == "retrieval is good but long.\n\n1 Intro next\n\nABC DEF ends here:\n\nnew"
     assert one(spark, "问题？\n答案！\n尾", C.join_lines) == "问题？\n\n答案！\n\n尾"
+
+
+def test_line_joining_equals_the_fold(spark):
+    """Lines are joined in one step; a fold that carries the paragraph so far says the same."""
+    words = ["", "-", "re-", "val", "Val.", "A B", "1.2 Intro", "ends:", "x-", "Éa", "é", "12", " pad ", "a ", "?"]
+    texts = ["\n".join(words[(i * k + j) % len(words)] for i in range(30)) for k in (1, 2, 4, 7) for j in range(4)] + ["", "\n", "-\na", "a -\nb"]
+
+    def fold(text):
+        done, now = [], ""
+        for x in (x.strip() for x in text.split("\n")):
+            hyphen = now.endswith("-") and x[:1].islower()
+            heading = re.match(r"\d+(\.\d+)*\s+\S+", x) or (x.upper() == x and x.lower() != x)
+            if x and hyphen:
+                now = now[:-1] + x
+            elif x and now and now[-1] not in ".?!:" and not heading:
+                now += " " + x
+            else:
+                done, now = done + [now], x
+        return "\n\n".join(p for p in [*done, now] if p)
+
+    rows = spark.createDataFrame(enumerate(texts), "i int, t string").select("t", C.join_lines(F.col("t")).alias("y")).collect()
+    assert [r["y"] for r in rows] == [fold(r["t"]) for r in rows]
+
+
+def test_page_lines_are_cut_once(spark):
+    pages = spark.createDataFrame([("d", 1, "a\nb")], "doc_id string, page int, text string")
+    plan = C.edge_lines(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    once = spark.range(1).select(T.lines(F.concat(F.lit("a\n"), F.col("id").cast("string"))).alias("x"))
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
