@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 from loresift.operators import retrieve as R
 
 NAMES = [
+    "eval_case_metrics",
     "lexical_rerank",
     "evidence_selection",
     "pack_context",
