@@ -9,6 +9,7 @@ from loresift.operators import context as X
 from loresift.operators import evaluate as V
 from loresift.operators import retrieve as R
 from loresift.operators.reports import write_evaluation
+from loresift.plans import catalogue
 
 
 def test_tokenizers_and_estimators_by_name(spark):
@@ -43,6 +44,26 @@ def test_a_strategy_that_fails_while_it_runs(spark):
     assert R.compare({"bad": lambda: broken})[::2] == (None, "error")
 
 
+@pytest.mark.parametrize("runs", [False, True])
+@pytest.mark.parametrize("bad", [1, 2])
+def test_a_failed_strategy_ends_compare_overlap(spark, monkeypatch, bad, runs):
+    """Its rows can't say that a strategy failed, in its plan or while it runs; no rows would look like no overlaps."""
+    own, calls = R.bm25, []
+
+    def bm25(*args, **more):
+        calls.append(args)
+        if len(calls) != bad:
+            return own(*args, **more)
+        if not runs:
+            raise OSError("no disk")
+        return own(*args, **more).withColumn("score", F.raise_error(F.lit("no disk")).cast("double"))
+
+    monkeypatch.setattr(R, "bm25", bm25)
+    with pytest.raises(Exception, match="no disk"):
+        catalogue.QUERIES["compare_overlap"](spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == bad
+
+
 def test_review_columns_and_run_file(spark, tmp_path):
     rows = spark.createDataFrame([(1, "plain", "success")], "query_id int, question_type string, status string")
     for m in V.METRICS:
